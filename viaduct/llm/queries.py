@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -21,6 +21,14 @@ def tokenizer(name: str) -> str:
         return os.path.join(TOKENIZERS, name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_texts
 
@@ -66,6 +74,29 @@ FROM m GROUP BY doc_id
 """
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, read_back
+
+    own = spark.sql("SELECT bigint(-7) AS conv_id, bigint(turn) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)")
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return read_back(format_chats(log))
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, v.turn, v.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)
+), e AS (
+  SELECT *, len(regexp_extract_all(role || chr(10) || text, '<\\*\|(?:turn|text|end|im_start|im_end|endoftext|system|user|assistant)\|>|<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>')) AS escapes FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(length(role) + length(text) + escapes) + 23 * count(*))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import leaks
 
@@ -79,15 +110,36 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, train(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_chat": op6_chat,
     "op7_decontam": op7_decontam,
     "op8_simhash": op8_simhash,
+    "op9_langid": op9_langid,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op6_chat": OP6_SQL,
 }
