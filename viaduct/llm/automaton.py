@@ -25,12 +25,12 @@ class MergeAutomaton:
         where = row.tolist()
         dense = np.zeros((1024, len(order)), np.uint8)  # bits over states, by token
         dense[0, : len(base)] = 1
-        live = len(base)
+        live, unmade = len(base), set()
         for u, v, w in merges:
             q, ru, rv = target[u], where[u], where[v]
             live += 1
-            if not dense[q >> 3, rv] >> (q & 7) & 1:
-                target[w] = target[v]  # u v never stand together: w can't be made this way
+            if u in unmade or not dense[q >> 3, rv] >> (q & 7) & 1:
+                unmade.add(w)  # u v never stand together: nothing leads over w
                 continue
             r = target[v]
             if members[q] > 1 or u == v:

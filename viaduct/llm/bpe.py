@@ -21,7 +21,7 @@ from .common import Memo, over_texts
 #: The library's pattern for byte-level splitting (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: For texts of ASCII alone the same pattern reads so.
-SPLIT_ASCII = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s\x1c-\x1fA-Za-z0-9]+|[^\S\x1c-\x1f]+(?!\S|[\x1c-\x1f])|[^\S\x1c-\x1f]+| ?[\x1c-\x1f]+"""
+SPLIT_ASCII = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"""
 
 
 def byte_letters() -> dict[str, int]:
