@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .store import written
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: str, start: str, end: str, width: float) -> DataFrame:
@@ -52,20 +53,31 @@ def within_distance(points: DataFrame, edges: DataFrame, radius: float) -> DataF
     return p.join(near, key, "left_semi").drop("__row")
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, radius: float, point_id: str = "point_id", edge_id: str = "edge_id", growth: float = 4.0, rounds: int = 3) -> DataFrame:
+def nearest_edge(points: DataFrame, edges: DataFrame, radius: float, point_id: str = "point_id", edge_id: str = "edge_id", growth: float = 4.0) -> DataFrame:
     """(point_id, edge_id, dist): the nearest edge of each point, ties to the smallest edge_id.
 
-    The search radius grows from round to round for points without a find. Whoever is left after the last round has its
-    nearest edge among all edges by aggregation over blocks of edges, not by a join on nothing."""
-    left, found = points.select(point_id, "x", "y"), []
-    e = edges.select(edge_id, "x1", "y1", "x2", "y2")
-    for k in range(rounds):
-        near = edge_candidates(left, e, radius * growth**k).groupBy(point_id).agg(F.min(F.struct("dist", edge_id)).alias("b"))
-        near = near.select(point_id, F.col(f"b.{edge_id}").alias(edge_id), F.col("b.dist").alias("dist"))
-        found.append(near)
-        left = left.join(near, point_id, "left_anti")
-    far = edge_candidates(left, e, radius * growth ** (rounds + 4)).groupBy(point_id).agg(F.min(F.struct("dist", edge_id)).alias("b"))
-    found.append(far.select(point_id, F.col(f"b.{edge_id}").alias(edge_id), F.col("b.dist").alias("dist")))
+    The radius grows from round to round, and only points without a find are searched again. A round is written once, so
+    later rounds don't repeat earlier ones; the last one reaches from end to end of all places. Points without a place and
+    all points where there are no edges have no row."""
+    left = written(points.select(point_id, "x", "y").na.drop(), "points")
+    e = written(edges.select(edge_id, "x1", "y1", "x2", "y2").na.drop(), "edges")
+    spans = left.select("x", "y").union(e.select("x1", "y1")).union(e.select("x2", "y2"))
+    w, h = spans.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    found = []
+    if w is not None and not e.isEmpty():
+        whole = w + h
+        while True:
+            near = edge_candidates(left, e, radius).groupBy(point_id).agg(F.min(F.struct("dist", edge_id)).alias("b"))
+            near = written(near.select(point_id, F.col(f"b.{edge_id}").alias(edge_id), F.col("b.dist").alias("dist")), "near")
+            found.append(near)
+            if radius > whole:
+                break
+            left = written(left.join(near.select(point_id), point_id, "left_anti"), "points")
+            if left.isEmpty():
+                break
+            radius *= growth
+    if not found:
+        return left.crossJoin(e).select(point_id, edge_id, F.lit(0.0).alias("dist")).limit(0)
     return reduce(DataFrame.union, found)
 
 
