@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-
 def tokenizer(name: str) -> str:
-    """A vocabulary file of the installed collection of public tokenizers, or of TOKENIZER_DIR."""
-    try:
-        return importlib.import_module("public_tokenizers").path(name)
-    except ImportError:
-        return os.path.join(TOKENIZERS, name)
+    """A vocabulary file: of the folder TOKENIZER_DIR where that is set, else of the installed collection."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
