@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, remove, shared_dir
+from .common import exists, lower_ascii, materialised, remove, shared_dir
 
 BLANK = " \t\n\x0b\f\r"
 
@@ -64,11 +64,14 @@ class LineRuns:
         """batch: (key, doc_id), a row for each key of each document."""
         folded = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
         if any(self.levels):
-            at = self._write(folded, "batch")
-            folded, runs = self._read([at]), self.runs().select("key")
-            self.repeats.append(self._write(folded.join(runs, "key", "left_semi"), "repeats"))
-            self.levels[0].append(self._write(folded.join(runs, "key", "left_anti").sortWithinPartitions("key"), "run"))
-            remove(self.spark, at)
+            # one merge join; partners part ways as they are written: what a run holds, and what no run holds
+            known = self.runs().select("key", F.lit(True).alias("known"))
+            marked = folded.join(known, "key", "left").withColumn("known", F.col("known").isNotNull())
+            at = f"{self.path}/batch-{uuid.uuid4().hex}"
+            marked.sortWithinPartitions("known", "key").write.partitionBy("known").parquet(at)
+            for known, into in (("true", self.repeats), ("false", self.levels[0])):
+                if exists(self.spark, f"{at}/known={known}"):
+                    into.append(f"{at}/known={known}")
         else:
             self.levels[0].append(self._write(folded.sortWithinPartitions("key"), "run"))
         self._compact()
@@ -112,7 +115,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     runs = LineRuns(spark, at, fanout)
     for b in range(batches):
         runs.add(keys.filter(F.col("batch") == b).select("key", "doc_id"))
-    common = runs.totals().filter(F.col("n") >= min_docs).select("key", "top")
+    # written first, so that adaptive execution can split the next join's hot keys, or broadcast if the table is small
+    common = materialised(runs.totals().filter(F.col("n") >= min_docs).select("key", "top"), "common-lines")
     gone = keys.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("top")))
     gone = gone.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set(F.lower(F.hex("key"))).alias("__gone"))
     names = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
