@@ -42,14 +42,17 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> dict:
     if len(set(y.tolist())) < 2:
         return nothing | {"bias": 0.0 if not len(y) else 9.0 if y[0] else -9.0}
     of = Memo(buckets).__getitem__
-    docs = [np.unique(np.fromiter(chain.from_iterable(map(of, words(text))), np.int64)) for text, _ in rows]
+    docs = [np.unique(np.fromiter(chain.from_iterable(map(of, words(text))), np.int32)) for text, _ in rows]
     ones = sum(y)
     zeros = len(y) - ones
-    hit = [np.bincount(np.concatenate([d for d, b in zip(docs, y, strict=True) if b == c] or [np.zeros(0, np.int64)]), minlength=1 << BITS) for c in (0, 1)]
-    p0, p1, p = hit[0] / zeros, hit[1] / ones, (hit[0] + hit[1]) / len(y)
-    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / zeros))
-    z[(hit[0] + hit[1] < 2) | (np.abs(z) < 3)] = 0
-    kept = np.argsort(-np.abs(z), kind="stable")[: min(KEPT, int((z != 0).sum()))]
+    hit = [np.bincount(np.concatenate([d for d, b in zip(docs, y, strict=True) if b == c] or [np.zeros(0, np.int32)]), minlength=1 << BITS).astype(np.int32) for c in (0, 1)]
+    often = np.flatnonzero(hit[0] + hit[1] >= 2)  # the rest can't differ beyond chance
+    h0, h1 = hit[0][often].astype(np.float64), hit[1][often].astype(np.float64)
+    del hit
+    p = (h0 + h1) / len(y)
+    z = (h1 / ones - h0 / zeros) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / zeros))
+    order = np.argsort(-np.abs(z), kind="stable")
+    kept = often[order[: min(KEPT, int((np.abs(z) >= 3).sum()))]]
     slots = {int(b): i for i, b in enumerate(kept)}
     active = [np.array([slots[b] for b in d.tolist() if b in slots], np.int64) for d in docs]
     rng = np.random.default_rng(seed)
