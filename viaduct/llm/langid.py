@@ -123,7 +123,9 @@ class Labeller:
         best = int(total.argmax())
         ahead = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
         low = np.minimum(np.minimum.accumulate(ahead, axis=0), 0.0)
-        if (ahead - low).max() <= PENALTY / 2:  # no stretch gains enough elsewhere to pay for leaving
+        # No stretch in another language gains more than a switch costs, nor do the best beginning and the best end
+        # together: then no path that leaves `best` pays for its switches, with or without a stretch in `best`.
+        if (ahead - low).max() <= PENALTY and max(ahead.max(), 0.0) + (ahead[-1] - low[-1]).max() <= PENALTY:
             return np.full(len(s), best)
         v, back = [0.0] * s.shape[1], []
         for row in s.astype(np.float64).tolist():
