@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from .common import Memo, over_texts
 
 BITS, SCALE, EPOCHS = 20, 40.0, 2
+#: Labelled documents that the weights are fitted on at most.
+SAMPLE = 6_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _MASK = np.uint64((1 << BITS) - 1)
 #: Hashes of the patterns "a a" and "a _ a" for any token a.
@@ -39,7 +41,8 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.01, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (the bias last) by FTRL-proximal steps, one row at a time."""
+    """Weights (the bias last) by FTRL-proximal steps, one row at a time, the last one first. Features are kept in eight bytes each."""
+    rows = list(rows)
     n = (1 << BITS) + 1
     z, s = np.zeros(n), np.zeros(n)
     labels = [y for _, y in rows]
@@ -48,11 +51,13 @@ def fit(rows: list[tuple[str, int]], alpha: float = 0.5, beta: float = 1.0, l1:
         weights[-1] = 0.0 if not labels else 9.0 if labels[0] else -9.0
         return weights
     cached = []
-    for text, y in rows:
+    while rows:  # a text goes when its features are there
+        text, y = rows.pop()
         idx, counts = np.unique(features(text), return_counts=True)
-        cached.append((np.append(idx, n - 1), np.append(counts * (SCALE / max(counts.sum(), 1)), 1.0), y))
+        cached.append((np.append(idx, n - 1).astype(np.int32), np.append(counts * (SCALE / max(counts.sum(), 1)), 1.0).astype(np.float32), y))
     for _ in range(epochs):
         for idx, x, y in cached:
+            x = x.astype(np.float64)
             zi, si = z[idx], s[idx]
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(si)) / alpha + l2))
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -30, 30)))
@@ -82,9 +87,10 @@ def score_quality(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", te
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
+    """Fitted on at most SAMPLE labelled documents."""
     from .labelled import sample
 
-    return fit(sample(docs, labels, label))
+    return fit(sample(docs, labels, label, most=SAMPLE))
 
 
 def keep_good(df: DataFrame, weights: np.ndarray, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
