@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, repeated lines, near-duplicates, benchmark leaks, tokens.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. Rows with a null doc_id pass the
-near-duplicate and the leak stage undropped, as no decision can name them.
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. The near-duplicate stage decides by row, so
+null and repeated ids are decided like others. Rows with a null doc_id pass the leak stage undropped, as no decision can name them.
 """
 
 from __future__ import annotations
@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.llm.bpe import encode_texts
-from viaduct.llm.common import shared_dir, table
+from viaduct.llm.common import materialised, shared_dir, table
 from viaduct.llm.decontam import leaks
 from viaduct.llm.line_dedup import line_dedup
+from viaduct.llm.near_dup import near_duplicate_groups
 from viaduct.llm.queries import tokenizer
 from viaduct.llm.quality import keep_good, train
-from viaduct.llm.simhash import simhash_components
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc): every row under a key of its own, fixed by being written."""
+    return materialised(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")), "keyed")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +37,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    found = simhash_components(docs)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest id of each group of near-duplicates: at least 0.8 of their shingles of five words in common."""
+    rows = keyed(docs)
+    texts = rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    found = materialised(near_duplicate_groups(texts), "groups").join(texts.select("row", "doc_id"), "row")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    dropped = found.join(first.filter("n > 1"), "component").filter("row <> kept.row").select("row")
+    return rows.join(dropped, "row", "left_anti").select("doc.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
