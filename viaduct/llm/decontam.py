@@ -4,10 +4,10 @@ Texts are lower-cased and split into words at everything that is neither letter
 item with fewer words is one shingle). An item of n words is looked for in windows of n words:
 
 1. Placing windows. The similarity of a window and an item is the weighted Jaccard of their shingles, the weight of a
-   shingle being its number of occurrences. At a similarity of t, at least ceil(t * m) of an item's m occurrences stand
-   in the window, so at least one of any m - ceil(t * m) + 1 of them does. These anchors are the item's rarest
-   shingles within the benchmark. Wherever a document holds an anchor, a window goes where the item would begin.
-   A window that shares no anchor can't reach t and isn't fingerprinted.
+   shingle being its number of occurrences. At a similarity of t, windows and items of a and b occurrences have at least
+   t * (a + b) / (1 + t) in common. So every position of a document whose shingle stands in some item of n words is
+   marked, and every window of n words with so many marks is taken, wherever in the item its shingles stand. The numbers
+   of marks come from running sums over the starts at which the marks come and go. No other window can reach t.
 2. Candidates. Windows and items get 64-bit SimHashes, each occurrence voting once. Fingerprints are cut into
    radius + 1 blocks; two of them within the radius agree in a block at least, so joining on (words, block, bits)
    meets every such pair. A pair is taken at the first block in which it agrees, so it comes once.
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialised
@@ -79,6 +79,19 @@ def hamming_pairs(left: DataFrame, right: DataFrame, radius: int, on: list[str])
     return met.filter((F.bit_count(differ) <= radius) & (first == F.col("block"))).drop("block", "bits")
 
 
+def placed_windows(hits: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(keys, start) of all windows that can reach the threshold, from the marked positions (keys, at); keys hold width, n and size."""
+    n, width, size, at = (F.col(c) for c in ("n", "width", "size", "at"))
+    first = F.greatest(at - n + width, F.lit(0))
+    after = F.greatest(F.least(at, size - n), F.lit(0)) + 1
+    events = hits.select(*keys, F.explode(F.array(F.struct(first.alias("start"), F.lit(1).alias("d")), F.struct(after.alias("start"), F.lit(-1).alias("d")))).alias("e"))
+    steps = events.groupBy(*keys, F.col("e.start").alias("start")).agg(F.sum("e.d").alias("d"))
+    order = Window.partitionBy(*keys).orderBy("start")
+    runs = steps.select(*keys, "start", F.sum("d").over(order).alias("marks"), F.lead("start").over(order).alias("next"))
+    common = threshold * (F.least(n, size) + n - 2 * width + 2) / (1 + threshold) - 1e-9
+    return runs.filter((F.col("marks") >= common) & F.col("next").isNotNull()).select(*keys, F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 16) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, differing_bits): each document with each item that it holds, at the best window."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words"))
@@ -86,45 +99,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     wide = F.least(F.col("n"), F.lit(WIDTH))
     per_width = [items.filter(wide == k).select("item_id", "n", F.lit(k).alias("width"), F.posexplode(shingles_of(F.col("words"), k)).alias("o", "h")) for k in range(1, WIDTH + 1)]
     occurrences = materialised(reduce(DataFrame.union, per_width).distinct(), "items")  # ids that repeat count once
-    frequency = occurrences.groupBy("width", "h").agg(F.count(F.lit(1)).alias("f"))
-    ranked = occurrences.join(frequency, ["width", "h"])
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("item_id").orderBy("f", "o")
-    m = F.count(F.lit(1)).over(Window.partitionBy("item_id"))
-    anchors = ranked.select("*", F.row_number().over(order).alias("r"), m.alias("m")).filter(F.col("r") <= F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1)
-    anchors = materialised(anchors.select("width", "h", "o", "n").distinct(), "anchors")
-    n_anchors = anchors.count()
-    widths = [r[0] for r in anchors.select("width").distinct().collect()]  # five at most
+    n_rows = occurrences.count()
+    marks = occurrences.select("width", "h", "n").distinct()
+    widths = [r[0] for r in occurrences.select("width").distinct().collect()]  # five at most
     texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     hits = None
     for k in widths:
         rows = texts.select("doc_id", F.size("words").alias("size"), F.posexplode(shingles_of(F.col("words"), k)).alias("at", "h"))
-        own = anchors.filter(F.col("width") == k).select("h", "o", "n", "width")
-        found = rows.join(small(own, n_anchors), "h")
-        start = F.greatest(F.least(F.col("at") - F.col("o"), F.col("size") - F.col("n")), F.lit(0))
-        found = found.select("doc_id", "width", "n", start.alias("start"))
+        own = marks.filter(F.col("width") == k).select("h", "n", "width")
+        found = rows.join(small(own, n_rows), "h").select("doc_id", "width", "n", "size", "at")
         hits = found if hits is None else hits.union(found)
     if hits is None:
         return docs.sparkSession.range(0).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("differing_bits"))
-    hits = materialised(hits.distinct(), "windows")
-    placed = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("width", "n", "start")).alias("windows"))
-    n_hits = hits.count()
+    windows_at = materialised(placed_windows(hits.distinct(), ["doc_id", "width", "n", "size"], threshold), "windows")
+    placed = windows_at.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("width", "n", "start")).alias("windows"))
+    n_windows = windows_at.count()
     # only documents with a window are read on; their windows' words leave the row, not the text
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(small(placed, n_hits), F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(small(placed, n_windows), F.col("doc_id").eqNullSafe(F.col("hit_id")))
     cut = held.select("doc_id", words_of(F.col("t")).alias("words"), "windows")
     cut = cut.select("doc_id", F.explode(F.transform("windows", lambda w: F.struct(w["width"].alias("width"), w["n"].alias("n"), w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["n"]).alias("words")))).alias("w")).select("doc_id", "w.*")
     per_width = [cut.filter(F.col("width") == k).select("doc_id", "width", "n", "start", F.explode(shingles_of(F.col("words"), k)).alias("h")) for k in widths]
     shingled = materialised(reduce(DataFrame.union, per_width), "shingles")
     windows = simhash_bits(shingled, ["doc_id", "width", "n", "start"])
     items_fp = simhash_bits(occurrences, ["item_id", "width", "n"]).select("item_id", "width", "n", F.col("fp").alias("other_fp"), F.col("m").alias("item_m"))
-    near = hamming_pairs(windows, small(items_fp, n_anchors), radius, ["width", "n"])
+    near = hamming_pairs(windows, small(items_fp, n_rows), radius, ["width", "n"])
     near = near.select("doc_id", "item_id", "width", "n", "start", "m", "item_m", F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))).alias("differing_bits"))
     weights = shingled.groupBy("doc_id", "width", "n", "start", "h").agg(F.count(F.lit(1)).alias("c"))
     item_weights = occurrences.groupBy("item_id", "width", "h").agg(F.count(F.lit(1)).alias("item_c"))
     key = ["doc_id", "width", "n", "start"]
     both = near.withColumnsRenamed({c: f"near_{c}" for c in key}).join(weights, reduce(lambda a, b: a & b, (F.col(f"near_{c}").eqNullSafe(F.col(c)) for c in key))).drop(*(f"near_{c}" for c in key))
-    shared = both.join(small(item_weights, n_anchors * 5), ["item_id", "width", "h"])
+    shared = both.join(small(item_weights, n_rows), ["item_id", "width", "h"])
     verified = shared.groupBy(*key, "item_id", "m", "item_m", "differing_bits").agg(F.sum(F.least("c", "item_c")).alias("common"))
     verified = verified.select("doc_id", "item_id", (F.col("common") / (F.col("m") + F.col("item_m") - F.col("common"))).alias("similarity"), "start", "n", "differing_bits").filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("start", "n", "differing_bits"), F.struct("similarity", -F.col("start"))).alias("b")
