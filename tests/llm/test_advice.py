@@ -99,3 +99,14 @@ def test_leaks_against_all_windows(spark):
     clear = {k for k, s in want.items() if s >= 0.83}  # below, the radius of 16 may miss one in a hundred
     assert clear <= set(got) <= set(want) and len(set(want) - set(got)) <= 1
     assert all(abs(s - want[k]) < 1e-9 for k, s in got.items() if want[k] >= 0.9)
+
+
+def test_leaks_of_repeated_rows_and_null_ids(spark):
+    """Repeated rows, different texts under one id or none, and items without an id or with a repeated one."""
+    rng = random.Random(6)
+    word = lambda: f"v{rng.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(30))) for i in (None, None, 1, 1, 2)]
+    text = lambda k: " ".join([*(word() for _ in range(40)), items[k][1], *(word() for _ in range(40))])
+    docs = [(7, text(2))] * 3 + [(None, text(0)), (None, text(3)), (None, " ".join(word() for _ in range(110))), (8, text(4)), (8, text(1)), (8, None), (9, "")]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["similarity"]) for r in got) == Counter([(7, 1, 1.0), (None, None, 1.0), (None, 1, 1.0), (8, 2, 1.0), (8, None, 1.0)])

@@ -16,7 +16,8 @@ item with fewer words is one shingle). An item of n words is looked for in windo
 The default radius of 16 is where a pair at similarity 0.8 (expected distance 9.7, deviation 2.9) is missed once in a
 hundred times; an exact copy has distance 0.
 
-Null and empty texts and items without words match nothing. Rows that repeat an id count as one document, null ids too.
+Null and empty texts and items without words match nothing. Each distinct pair of id and text has windows of its own, and each
+distinct text of an item; rows that repeat an id, null ids too, fold to one document (or item) only at the end.
 Only the id and text columns are read.
 """
 
@@ -95,41 +96,45 @@ def placed_windows(hits: DataFrame, keys: list[str], threshold: float) -> DataFr
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 16) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, differing_bits): each document with each item that it holds, at the best window."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words"))
-    items = items.select("item_id", F.size("words").alias("n"), "words").filter("n > 0")
+    items = items.select("item_id", F.md5(F.array_join("words", " ")).alias("item"), F.size("words").alias("n"), "words").filter("n > 0")
+    names = items.select("item", "item_id").distinct()
     wide = F.least(F.col("n"), F.lit(WIDTH))
-    per_width = [items.filter(wide == k).select("item_id", "n", F.lit(k).alias("width"), F.posexplode(shingles_of(F.col("words"), k)).alias("o", "h")) for k in range(1, WIDTH + 1)]
-    occurrences = materialised(reduce(DataFrame.union, per_width).distinct(), "items")  # ids that repeat count once
+    per_width = [items.filter(wide == k).select("item", "n", F.lit(k).alias("width"), F.posexplode(shingles_of(F.col("words"), k)).alias("o", "h")) for k in range(1, WIDTH + 1)]
+    occurrences = materialised(reduce(DataFrame.union, per_width).distinct(), "items")  # items of one text are one until the end
     n_rows = occurrences.count()
     marks = occurrences.select("width", "h", "n").distinct()
     widths = [r[0] for r in occurrences.select("width").distinct().collect()]  # five at most
-    texts = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    own_id = F.when(F.col(id_col).isNull(), "null").otherwise(F.md5(F.col(id_col).cast("string")))
+    key = F.md5(F.concat(own_id, F.coalesce(F.col(text_col), F.lit(""))))
+    texts = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), words_of(F.col(text_col)).alias("words"))
     hits = None
     for k in widths:
-        rows = texts.select("doc_id", F.size("words").alias("size"), F.posexplode(shingles_of(F.col("words"), k)).alias("at", "h"))
+        rows = texts.select("doc_id", "key", F.size("words").alias("size"), F.posexplode(shingles_of(F.col("words"), k)).alias("at", "h"))
         own = marks.filter(F.col("width") == k).select("h", "n", "width")
-        found = rows.join(small(own, n_rows), "h").select("doc_id", "width", "n", "size", "at")
+        found = rows.join(small(own, n_rows), "h").select("doc_id", "key", "width", "n", "size", "at")
         hits = found if hits is None else hits.union(found)
     if hits is None:
         return docs.sparkSession.range(0).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("differing_bits"))
-    windows_at = materialised(placed_windows(hits.distinct(), ["doc_id", "width", "n", "size"], threshold), "windows")
-    placed = windows_at.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("width", "n", "start")).alias("windows"))
+    windows_at = materialised(placed_windows(hits.distinct(), ["doc_id", "key", "width", "n", "size"], threshold), "windows")
+    placed = windows_at.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("width", "n", "start")).alias("windows"))
     n_windows = windows_at.count()
     # only documents with a window are read on; their windows' words leave the row, not the text
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).join(small(placed, n_windows), F.col("doc_id").eqNullSafe(F.col("hit_id")))
-    cut = held.select("doc_id", words_of(F.col("t")).alias("words"), "windows")
-    cut = cut.select("doc_id", F.explode(F.transform("windows", lambda w: F.struct(w["width"].alias("width"), w["n"].alias("n"), w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["n"]).alias("words")))).alias("w")).select("doc_id", "w.*")
-    per_width = [cut.filter(F.col("width") == k).select("doc_id", "width", "n", "start", F.explode(shingles_of(F.col("words"), k)).alias("h")) for k in widths]
+    held = docs.select(key.alias("key"), F.col(text_col).alias("t")).join(small(placed, n_windows), "key").dropDuplicates(["key"])  # repeated rows count once
+    cut = held.select("doc_id", "key", words_of(F.col("t")).alias("words"), "windows")
+    cut = cut.select("doc_id", "key", F.explode(F.transform("windows", lambda w: F.struct(w["width"].alias("width"), w["n"].alias("n"), w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["n"]).alias("words")))).alias("w")).select("doc_id", "key", "w.*")
+    per_width = [cut.filter(F.col("width") == k).select("doc_id", "key", "width", "n", "start", F.explode(shingles_of(F.col("words"), k)).alias("h")) for k in widths]
     shingled = materialised(reduce(DataFrame.union, per_width), "shingles")
-    windows = simhash_bits(shingled, ["doc_id", "width", "n", "start"])
-    items_fp = simhash_bits(occurrences, ["item_id", "width", "n"]).select("item_id", "width", "n", F.col("fp").alias("other_fp"), F.col("m").alias("item_m"))
+    at = ["doc_id", "key", "width", "n", "start"]
+    windows = simhash_bits(shingled, at)
+    items_fp = simhash_bits(occurrences, ["item", "width", "n"]).select("item", "width", "n", F.col("fp").alias("other_fp"), F.col("m").alias("item_m"))
     near = hamming_pairs(windows, small(items_fp, n_rows), radius, ["width", "n"])
-    near = near.select("doc_id", "item_id", "width", "n", "start", "m", "item_m", F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))).alias("differing_bits"))
-    weights = shingled.groupBy("doc_id", "width", "n", "start", "h").agg(F.count(F.lit(1)).alias("c"))
-    item_weights = occurrences.groupBy("item_id", "width", "h").agg(F.count(F.lit(1)).alias("item_c"))
-    key = ["doc_id", "width", "n", "start"]
-    both = near.withColumnsRenamed({c: f"near_{c}" for c in key}).join(weights, reduce(lambda a, b: a & b, (F.col(f"near_{c}").eqNullSafe(F.col(c)) for c in key))).drop(*(f"near_{c}" for c in key))
-    shared = both.join(small(item_weights, n_rows), ["item_id", "width", "h"])
-    verified = shared.groupBy(*key, "item_id", "m", "item_m", "differing_bits").agg(F.sum(F.least("c", "item_c")).alias("common"))
-    verified = verified.select("doc_id", "item_id", (F.col("common") / (F.col("m") + F.col("item_m") - F.col("common"))).alias("similarity"), "start", "n", "differing_bits").filter(F.col("similarity") >= threshold)
+    near = near.select("doc_id", "key", "item", "width", "n", "start", "m", "item_m", F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))).alias("differing_bits"))
+    weights = shingled.groupBy("key", "width", "n", "start", "h").agg(F.count(F.lit(1)).alias("c"))
+    item_weights = occurrences.groupBy("item", "width", "h").agg(F.count(F.lit(1)).alias("item_c"))
+    both = near.join(weights, ["key", "width", "n", "start"])
+    shared = both.join(small(item_weights, n_rows), ["item", "width", "h"])
+    verified = shared.groupBy(*at, "item", "m", "item_m", "differing_bits").agg(F.sum(F.least("c", "item_c")).alias("common"))
+    verified = verified.select("doc_id", "item", (F.col("common") / (F.col("m") + F.col("item_m") - F.col("common"))).alias("similarity"), "start", "n", "differing_bits").filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("start", "n", "differing_bits"), F.struct("similarity", -F.col("start"))).alias("b")
+    verified = verified.join(names, "item")
     return verified.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best).select("doc_id", "item_id", "similarity", F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"), F.col("b.differing_bits").alias("differing_bits"))
