@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, repeated lines, near-duplicates, benchmark leaks, tokens.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. The near-duplicate stage decides by row, so
-null and repeated ids are decided like others. Rows with a null doc_id pass the leak stage undropped, as no decision can name them.
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. The near-duplicate and
+the leak stage decide by row, so rows with a null or a repeated doc_id are decided like any other.
 """
 
 from __future__ import annotations
@@ -48,8 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs)
+    texts = rows.select("row", F.col("doc.text").alias("text"))
+    found = leaks(texts, table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

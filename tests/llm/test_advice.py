@@ -110,3 +110,15 @@ def test_leaks_of_repeated_rows_and_null_ids(spark):
     docs = [(7, text(2))] * 3 + [(None, text(0)), (None, text(3)), (None, " ".join(word() for _ in range(110))), (8, text(4)), (8, text(1)), (8, None), (9, "")]
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert Counter((r["doc_id"], r["item_id"], r["similarity"]) for r in got) == Counter([(7, 1, 1.0), (None, None, 1.0), (None, 1, 1.0), (8, 2, 1.0), (8, None, 1.0)])
+
+
+def test_stages_decide_rows_without_an_id_or_with_a_repeated_one(spark, tmp_path):
+    rng = random.Random(9)
+    body = lambda: " ".join(f"v{rng.randrange(5000)}" for _ in range(60))
+    item, a, b = (body() for _ in range(3))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item}", None), (None, a, None), (4, a, None), (4, a, None), (4, b, None), (4, f"{b} {item}", None)]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = pipeline.benchmark_leaks(spark, df, str(tmp_path))
+    assert Counter(map(tuple, kept.collect())) == Counter(rows[1:5])
+    assert Counter(map(tuple, pipeline.near_duplicates(spark, kept, "").collect())) == Counter([(4, a, None), (4, b, None)])
