@@ -184,8 +184,8 @@ def seasonal_strength(y: np.ndarray, m: int) -> float:
     return max(0.0, 1 - left.var() / max(rest.var(), 1e-300))
 
 
-def auto_sarima(y: np.ndarray, m: int = 12, most: int = 24, steps: int = 150) -> Sarima:
-    """The stepwise search's best model, fitted in full."""
+def auto_sarima(y: np.ndarray, m: int = 12, steps: int = 150) -> Sarima:
+    """The stepwise search's best model, fitted in full: p and q to 5, P and Q to 2, until no neighbour has a lower AIC."""
     y = np.asarray(y, float)
     D = int(seasonal_strength(y, m) > 0.64)
     w, d = difference(y, 0, D, m), 0
@@ -193,11 +193,13 @@ def auto_sarima(y: np.ndarray, m: int = 12, most: int = 24, steps: int = 150) ->
         w, d = np.diff(w), d + 1
     drift = d + D <= 1
     seen: dict = {}
+    asked: set = set()
 
     def tried(p, q, P, Q):
         key = (p, q, P, Q)
-        if min(key) < 0 or p > 3 or q > 3 or P > 1 or Q > 1 or len(seen) >= most or key in seen:
+        if min(key) < 0 or p > 5 or q > 5 or P > 2 or Q > 2 or key in asked:
             return
+        asked.add(key)
         try:
             seen[key] = Sarima((p, d, q), (P, D, Q), m, drift).fit(y, steps)
         except (ValueError, np.linalg.LinAlgError):
