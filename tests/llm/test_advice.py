@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from viaduct.llm import decontam
+from viaduct.llm import decontam, toxicity
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -122,3 +122,15 @@ def test_stages_decide_rows_without_an_id_or_with_a_repeated_one(spark, tmp_path
     kept = pipeline.benchmark_leaks(spark, df, str(tmp_path))
     assert Counter(map(tuple, kept.collect())) == Counter(rows[1:5])
     assert Counter(map(tuple, pipeline.near_duplicates(spark, kept, "").collect())) == Counter([(4, a, None), (4, b, None)])
+
+
+def test_toxicity_learns_an_exclusive_or():
+    """Either term alone is toxic, both or none are not: the marginals are equal and no sum of weights separates."""
+    rng = random.Random(0)
+    rows = []
+    for k in range(1200):
+        has = k % 4
+        words = [f"w{rng.randint(0, 300)}" for _ in range(12)] + ["left"] * (has in (1, 3)) + ["right"] * (has in (2, 3))
+        rows.append((" ".join(words), int(has in (1, 2))))
+    s = toxicity.Scorer(toxicity.fit(rows))
+    assert min(s.score("w1 w2 left"), s.score("w1 w2 right")) > 0.5 > max(s.score("w1 w2"), s.score("w1 w2 left right"))

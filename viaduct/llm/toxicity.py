@@ -1,8 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased words and the stems of longer ones (their first STEM letters), hashed to 2^BITS buckets. Fitting keeps the buckets whose presence differs between the
-classes beyond chance (at most KEPT), and learns a weight and K factors for each by AdaGrad steps on the logistic loss;
-the factors' inner products score pairs of terms that stand in one text, which no sum of weights can. A text counts each
+Terms are lower-cased words and the stems of longer ones (their first STEM letters), hashed to 2^BITS buckets. Fitting
+learns a weight and K factors for every bucket that a training text holds; the factors' inner products score pairs of terms
+that stand in one text, which no sum of weights can. Buckets whose presence differs between the classes beyond chance take
+AdaGrad steps on the logistic loss; the others learn from their summed gradients beyond a pull to zero, so that rare terms
+aren't learned by heart but a term that matters only together with another is learned. A text counts each
 term once, so a toxic line weighs the same in a long text. Null and empty texts have the bias alone. Rows are scored on
 their own, so ties, repeats and hot keys need no care. Without labels of both kinds the score is the label that there
 is, or 0.5.
@@ -19,7 +21,9 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, over_texts
 
-BITS, KEPT, K, EPOCHS, STEM = 22, 4096, 4, 10, 5
+BITS, K, EPOCHS, STEM = 22, 4, 10, 5
+#: Deviation of the first factors; the pull of weights and factors to zero, in deviations of a sum of chance gradients.
+START, PULL_W, PULL_V = 0.02, 2.5, 2.5
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -36,29 +40,27 @@ def words(text: str | None) -> set[str]:
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 7) -> dict:
-    """{'slots': bucket -> row, 'bias', 'w', 'v'}."""
+    """{'buckets': sorted, 'bias', 'w', 'v'}, a weight and factors for each bucket."""
     y = np.array([b for _, b in rows], np.int64)
-    nothing = {"slots": {}, "w": np.zeros(0), "v": np.zeros((0, K))}
+    nothing = {"buckets": np.zeros(0, np.int32), "w": np.zeros(0), "v": np.zeros((0, K))}
     if len(set(y.tolist())) < 2:
         return nothing | {"bias": 0.0 if not len(y) else 9.0 if y[0] else -9.0}
     of = Memo(buckets).__getitem__
     docs = [np.unique(np.fromiter(chain.from_iterable(map(of, words(text))), np.int32)) for text, _ in rows]
     ones = sum(y)
     zeros = len(y) - ones
-    hit = [np.bincount(np.concatenate([d for d, b in zip(docs, y, strict=True) if b == c] or [np.zeros(0, np.int32)]), minlength=1 << BITS).astype(np.int32) for c in (0, 1)]
-    often = np.flatnonzero(hit[0] + hit[1] >= 2)  # the rest can't differ beyond chance
-    h0, h1 = hit[0][often].astype(np.float64), hit[1][often].astype(np.float64)
-    del hit
+    kept = np.unique(np.concatenate(docs))  # every bucket that a training text holds; no other one gets a gradient
+    active = [np.searchsorted(kept, d) for d in docs]
+    h0, h1 = (np.bincount(np.concatenate([x for x, b in zip(active, y, strict=True) if b == c]), minlength=len(kept)) for c in (0, 1))
     p = (h0 + h1) / len(y)
     z = (h1 / ones - h0 / zeros) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / zeros))
-    order = np.argsort(-np.abs(z), kind="stable")
-    kept = often[order[: min(KEPT, int((np.abs(z) >= 3).sum()))]]
-    slots = {int(b): i for i, b in enumerate(kept)}
-    active = [np.array([slots[b] for b in d.tolist() if b in slots], np.int64) for d in docs]
+    free = (np.abs(z) >= 3) & (h0 + h1 >= 2)  # these learn without a pull, all others against it
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), K)), float(np.log(ones / zeros))
-    gw, gv, gb = np.full(len(kept), 1e-2), np.full((len(kept), K), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    start = rng.normal(0, 1, (len(kept), K)) * np.where(free, 0.05, START)[:, None]
+    w, v, bias = np.zeros(len(kept)), start.copy(), float(np.log(ones / zeros))
+    zw, zv, gw, gv, gb = np.zeros(len(kept)), np.zeros((len(kept), K)), np.full(len(kept), 1e-2), np.where(free, 1e-2, 1e-4)[:, None] * np.ones(K), 1e-2
+    for epoch in range(EPOCHS):
+        pull_w, pull_v = PULL_W * (epoch + 1) ** 0.5, PULL_V * (epoch + 1) ** 0.5
         for i in rng.permutation(len(active)).tolist():
             x = active[i]
             vx = v[x]
@@ -68,19 +70,35 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> dict:
             gb += g * g
             bias -= 0.2 * g / gb**0.5
             if len(x):
-                d = g + 1e-4 * w[x]
+                f = free[x]
+                d = g + np.where(f, 1e-4 * w[x], 0)
+                zw[x] += d
                 gw[x] += d * d
-                w[x] -= 0.3 * d / np.sqrt(gw[x])
-                d = g * (s - vx) + 1e-3 * vx
+                w[x] = np.where(f, w[x] - 0.3 * d / np.sqrt(gw[x]), -0.3 * _beyond(zw[x], gw[x], pull_w))
+                f = f[:, None]
+                d = g * (s - vx) + np.where(f, 1e-3 * vx, 0)
+                zv[x] += d
                 gv[x] += d * d
-                v[x] = vx - 0.05 * d / np.sqrt(gv[x])
-    return {"slots": slots, "bias": float(bias), "w": w, "v": v}
+                v[x] = np.where(f, vx - 0.05 * d / np.sqrt(gv[x]), start[x] - 0.1 * _beyond(zv[x], gv[x], pull_v))
+    v[(_beyond(zv, gv, pull_v) == 0) & ~free[:, None]] = 0  # what never left its start has learned nothing
+    return {"buckets": kept, "bias": float(bias), "w": w.astype(np.float32), "v": v.astype(np.float32)}
+
+
+def _beyond(total: np.ndarray, squares: np.ndarray, pull: float) -> np.ndarray:
+    """The summed gradients in units of their root sum of squares, pulled to zero."""
+    t = total / np.sqrt(squares)
+    return np.sign(t) * np.maximum(np.abs(t) - pull, 0)
 
 
 class Scorer:
     def __init__(self, model: dict):
-        slots = model["slots"]
-        self.slots = Memo(lambda t: tuple(slots[b] for b in buckets(t) if b in slots)).__getitem__
+        known = model["buckets"]
+
+        def slots(word: str) -> tuple[int, ...]:
+            found = ((b, int(np.searchsorted(known, b))) for b in buckets(word))
+            return tuple(at for b, at in found if at < len(known) and known[at] == b)
+
+        self.slots = Memo(slots).__getitem__
         self.w, self.v, self.bias = model["w"], model["v"], model["bias"]
 
     def score(self, text: str | None) -> float:
@@ -95,7 +113,7 @@ class Scorer:
 
 
 def score_toxicity(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text; the model (under 1 MB) goes to each executor once."""
+    """(id, score) of every whole text; the model (28 bytes a bucket of the training rows) goes to each executor once."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
