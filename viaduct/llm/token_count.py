@@ -6,7 +6,8 @@ mark, so at every such place the transducer is back in its start state, whatever
 in which a chunk of text begins to the state in which it ends, with the tokens emitted between, is therefore fully
 given by (head, count, tail): the text up to the first such place, which depends on the state before; the tokens of
 all whole units after it; and the text after the last such place. Two neighbouring maps compose to one of the same
-form, the composition is associative, and a scan of doubling strides composes all chunks of a text.
+form, the composition is associative, and a scan of doubling strides composes all chunks of a text. Transitions carry no counts (a unit's count is the length of its path), and the maps hold text
+at their ends instead of states: a text without a space mark is carried whole and counted as one piece at the end.
 
 Null is the empty text and has no tokens. Rows are independent, so ties, repeats and hot keys need no care; a very
 long text is read in chunks. Only the id and the text column are read, so other columns can't clash.
