@@ -2,8 +2,8 @@
 
 A line's key is the MD5 of the line, stripped of ASCII white space at both ends and with A-Z lower-cased; only keys of
 lines with at least `min_chars` code points count. Documents come in batches. A batch is folded to one row for each
-key (documents that hold it, largest id among them) and merge-anti-joined with the runs: keys that no run holds become
-a new sorted run, the others go to the repeats. `fanout` runs of one level are compacted to one run of the next level,
+key (documents that hold it, largest id among them) and left-joined once with the runs, which yields the anti-join
+and its complement: keys that no run holds become a new sorted run, the others go to the repeats. `fresh` is the anti-join alone. `fanout` runs of one level are compacted to one run of the next level,
 so a key is rewritten once for each level. At the end the repeats are summed and merged with the runs.
 
 Null and empty texts have one empty line. Each row counts as a document, also where ids repeat; a null id is below
