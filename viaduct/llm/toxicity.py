@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .common import Memo, over_texts
 
-BITS, K, EPOCHS, STEM = 22, 4, 10, 5
+BITS, K, EPOCHS, STEM = 22, 4, 6, 5
 #: Deviation of the first factors; the pull of weights and factors to zero, in deviations of a sum of chance gradients.
 START, PULL_W, PULL_V = 0.02, 2.5, 2.5
 _WORDS = re.compile(r"\w+").findall
@@ -49,12 +49,25 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> dict:
     docs = [np.unique(np.fromiter(chain.from_iterable(map(of, words(text))), np.int32)) for text, _ in rows]
     ones = sum(y)
     zeros = len(y) - ones
-    kept = np.unique(np.concatenate(docs))  # every bucket that a training text holds; no other one gets a gradient
-    active = [np.searchsorted(kept, d) for d in docs]
-    h0, h1 = (np.bincount(np.concatenate([x for x, b in zip(active, y, strict=True) if b == c]), minlength=len(kept)) for c in (0, 1))
-    p = (h0 + h1) / len(y)
-    z = (h1 / ones - h0 / zeros) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / zeros))
-    free = (np.abs(z) >= 3) & (h0 + h1 >= 2)  # these learn without a pull, all others against it
+    held, total = np.unique(np.concatenate(docs), return_counts=True)  # every bucket that a training text holds
+    h1 = np.bincount(np.searchsorted(held, np.concatenate([d for d, b in zip(docs, y, strict=True) if b])), minlength=len(held))
+    p = total / len(y)
+    z = (h1 / ones - (total - h1) / zeros) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / ones + 1 / zeros))
+    free = (np.abs(z) >= 3) & (total >= 2)  # these learn without a pull, all others against it
+    # n summed gradients are at most sqrt(n) of their root sum of squares, so a bucket of `total` texts can pass a pull of
+    # PULL * sqrt(epochs) only if total > PULL ** 2: the others stay at zero whatever the order, and needn't be carried
+    can = free | (total > min(PULL_W, PULL_V) ** 2)
+    kept, free = held[can], free[can]
+    if not len(kept):
+        return nothing | {"bias": float(np.log(ones / zeros))}
+    order = np.argsort(~free, kind="stable")  # the free ones first
+    place, n_free = np.argsort(order), int(free.sum())
+    active = []
+    for d in docs:
+        at = np.minimum(np.searchsorted(kept, d), len(kept) - 1)
+        x = place[at[kept[at] == d]]
+        active.append((x[x < n_free], x[x >= n_free]))
+    kept, free = kept[order], np.arange(len(kept)) < n_free
     rng = np.random.default_rng(seed)
     start = rng.normal(0, 1, (len(kept), K)) * np.where(free, 0.05, START)[:, None]
     w, v, bias = np.zeros(len(kept)), start.copy(), float(np.log(ones / zeros))
@@ -62,41 +75,46 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> dict:
     for epoch in range(EPOCHS):
         pull_w, pull_v = PULL_W * (epoch + 1) ** 0.5, PULL_V * (epoch + 1) ** 0.5
         for i in rng.permutation(len(active)).tolist():
-            x = active[i]
-            vx = v[x]
-            s = vx.sum(axis=0)
-            dot = bias + w[x].sum() + 0.5 * float((s * s).sum() - (vx * vx).sum())
+            f, r = active[i]
+            vf, vr = v[f], v[r]
+            s = vf.sum(axis=0) + vr.sum(axis=0)
+            dot = bias + w[f].sum() + w[r].sum() + 0.5 * float(s @ s - np.vdot(vf, vf) - np.vdot(vr, vr))
             g = 1.0 / (1.0 + np.exp(-min(max(dot, -30.0), 30.0))) - y[i]
             gb += g * g
             bias -= 0.2 * g / gb**0.5
-            if len(x):
-                f = free[x]
-                d = g + np.where(f, 1e-4 * w[x], 0)
-                zw[x] += d
-                gw[x] += d * d
-                w[x] = np.where(f, w[x] - 0.3 * d / np.sqrt(gw[x]), -0.3 * _beyond(zw[x], gw[x], pull_w))
-                f = f[:, None]
-                d = g * (s - vx) + np.where(f, 1e-3 * vx, 0)
-                zv[x] += d
-                gv[x] += d * d
-                v[x] = np.where(f, vx - 0.05 * d / np.sqrt(gv[x]), start[x] - 0.1 * _beyond(zv[x], gv[x], pull_v))
+            if len(f):
+                wf = w[f]
+                d = g + 1e-4 * wf
+                gw[f] = own = gw[f] + d * d
+                w[f] = wf - 0.3 * d / np.sqrt(own)
+                d = g * (s - vf) + 1e-3 * vf
+                gv[f] = own = gv[f] + d * d
+                v[f] = vf - 0.05 * d / np.sqrt(own)
+            if len(r):
+                zw[r] = total = zw[r] + g
+                gw[r] = own = gw[r] + g * g
+                w[r] = -0.3 * _beyond(total, own, pull_w)
+                d = g * (s - vr)
+                zv[r] = total = zv[r] + d
+                gv[r] = own = gv[r] + d * d
+                v[r] = start[r] - 0.1 * _beyond(total, own, pull_v)
     v[(_beyond(zv, gv, pull_v) == 0) & ~free[:, None]] = 0  # what never left its start has learned nothing
-    return {"buckets": kept, "bias": float(bias), "w": w.astype(np.float32), "v": v.astype(np.float32)}
+    some = (w != 0) | (v != 0).any(axis=1)  # a bucket of zeros adds nothing to any score
+    return {"buckets": kept[some], "bias": float(bias), "w": w[some].astype(np.float32), "v": v[some].astype(np.float32)}
 
 
 def _beyond(total: np.ndarray, squares: np.ndarray, pull: float) -> np.ndarray:
     """The summed gradients in units of their root sum of squares, pulled to zero."""
     t = total / np.sqrt(squares)
-    return np.sign(t) * np.maximum(np.abs(t) - pull, 0)
+    return t - np.minimum(np.maximum(t, -pull), pull)
 
 
 class Scorer:
     def __init__(self, model: dict):
-        known = model["buckets"]
+        known = {b: at for at, b in enumerate(model["buckets"].tolist())}
 
         def slots(word: str) -> tuple[int, ...]:
-            found = ((b, int(np.searchsorted(known, b))) for b in buckets(word))
-            return tuple(at for b, at in found if at < len(known) and known[at] == b)
+            return tuple(known[b] for b in buckets(word) if b in known)
 
         self.slots = Memo(slots).__getitem__
         self.w, self.v, self.bias = model["w"], model["v"], model["bias"]
