@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline as pipeline
-from viaduct.llm import decontam, toxicity
+from viaduct.llm import decontam, near_dup, toxicity
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -57,6 +59,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert len({find(texts.index(r["text"])) for r in got}) == len(got) == len(least)
 
 
+def test_radii_meet_sets_at_exactly_the_threshold():
+    """Pairs at 0.8, the hardest ones: of 12,000 at most a few lie beyond the radii."""
+    rng, lost = np.random.default_rng(0), 0
+    for a, b, common in ((4, 5, 4), (5, 6, 5), (8, 10, 8), (16, 20, 16), (20, 25, 20), (36, 36, 32), (100, 125, 100), (270, 270, 240)):
+        near, radius = near_dup.RADII_SMALL if min(a, b) < near_dup.SMALL else near_dup.RADII
+        for _ in range(1500):
+            x = rng.integers(-(2**63), 2**63 - 1, a + b - common)
+            d = np.bitwise_count((near_dup.set_fingerprints(x[:a]) ^ near_dup.set_fingerprints(x[a - common :])).view(np.uint64))
+            lost += bool(d[0] > near or d.sum() > radius)
+    assert lost <= 5
+
+
+def test_near_duplicates_over_many_stripes(spark):
+    """A chain of texts, each similar to the next only, over stripes of a few rows."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(160)]
+    texts = [" ".join(words[k : k + 60]) for k in range(0, 100, 3)] + [" ".join(f"x{rng.randrange(10**6)}" for _ in range(60)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["row"]: r["component"] for r in near_dup.simhash_groups(df, stripe=8).collect()}
+    assert got == {k: 0 if k < 34 else k for k in range(len(texts))}
+
+
 def counted(words, width):
     return Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
 

@@ -24,6 +24,8 @@ from .common import LOWER, UPPER, materialised, over_texts
 from .components import components
 
 STRIPE, TILE = 1 << 18, 512
+#: Tasks at most of one comparison.
+TASKS = 10_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+").findall
 
@@ -108,19 +110,31 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     return nodes[other], nodes[parent[other]]
 
 
-def near_pairs(fps: DataFrame, radius: int = 4, stripe: int = STRIPE) -> DataFrame:
-    """(a, b) links that connect the distinct fingerprints of fps (fp long) just as all pairs within radius do."""
-    counts = dict(fps.groupBy(F.bit_count("fp").cast("int").alias("c")).count().collect())  # 65 rows at most
+def met_stripes(rows: DataFrame, c: Column, reach: int, stripe: int) -> DataFrame:
+    """rows dealt to pairs of stripes (lo, hi): stripes of at most `stripe` rows or so of one class each, met where classes differ by `reach` at most.
+
+    c: the row's class, a whole number from 0; classes are few (counts of 64 bits, or logarithms), so their sizes go to the driver.
+    A row whose own stripe is the greater one of its pair is marked `second`."""
+    rows = rows.withColumn("c", c.cast("int"))
+    counts = dict(rows.groupBy("c").count().collect())
     if not counts:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    parts = {c: -(-n // stripe) for c, n in counts.items()}
-    table = F.array(*(F.lit(parts.get(c, 0)) for c in range(65)))
-    c1 = F.bit_count("fp").cast("int")
-    rows = fps.select("fp", c1.alias("c"), F.pmod(F.xxhash64("fp"), F.greatest(F.get(table, c1), F.lit(1))).cast("int").alias("p"))
-    rows = rows.select("*", F.explode(F.sequence(F.greatest(F.col("c") - radius, F.lit(0)), F.least(F.col("c") + radius, F.lit(64)))).alias("c2"))
-    rows = rows.filter(F.get(table, F.col("c2")) > 0).select("*", F.explode(F.sequence(F.lit(0), F.get(table, F.col("c2")) - 1)).alias("p2"))
+        return rows.limit(0).select(*(x for x in rows.columns if x != "c"), F.lit(False).alias("second"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    most = max(counts)
+    parts = {k: -(-n // stripe) for k, n in counts.items()}
+    table = F.array(*(F.lit(parts.get(k, 0)) for k in range(most + 1)))
+    names = [x for x in rows.columns if x != "c"]
+    dealt = rows.withColumn("p", F.pmod(F.xxhash64(*names), F.get(table, F.col("c"))).cast("int"))
+    dealt = dealt.withColumn("c2", F.explode(F.sequence(F.greatest(F.col("c") - reach, F.lit(0)), F.least(F.col("c") + reach, F.lit(most)))))
+    dealt = dealt.filter(F.get(table, F.col("c2")) > 0).withColumn("p2", F.explode(F.sequence(F.lit(0), F.get(table, F.col("c2")) - 1)))
     own, far = F.struct("c", "p"), F.struct(F.col("c2").alias("c"), F.col("p2").alias("p"))
-    rows = rows.select("fp", (own > far).alias("second"), F.least(own, far).alias("lo"), F.greatest(own, far).alias("hi"))
+    dealt = dealt.select(*names, (own > far).alias("second"), F.least(own, far).alias("lo"), F.greatest(own, far).alias("hi"))
+    # a pair's work is its rows squared, so tasks are set by the pairs and not by the bytes
+    pairs = sum(n * (n + 1) // 2 + n * sum(parts.get(k + r, 0) for r in range(1, reach + 1)) for k, n in parts.items())
+    return dealt.repartition(min(pairs, TASKS), "lo", "hi")
+
+
+def near_pairs(fps: DataFrame, radius: int = 4, stripe: int = STRIPE) -> DataFrame:
+    """(a, b) links that connect the distinct fingerprints of fps (fp long) just as all pairs within radius do."""
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
@@ -128,6 +142,7 @@ def near_pairs(fps: DataFrame, radius: int = 4, stripe: int = STRIPE) -> DataFra
         a, b = links(fp, None, radius) if key[0].as_py() == key[1].as_py() else links(fp[~second], fp[second], radius) if second.any() and not second.all() else (fp[:0], fp[:0])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
+    rows = met_stripes(fps.select("fp"), F.bit_count("fp"), radius, stripe)
     return rows.groupBy("lo", "hi").applyInArrow(compare, "a long, b long")
 
 
