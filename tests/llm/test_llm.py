@@ -161,6 +161,20 @@ def test_line_runs_hold_each_key_once(spark, tmp_path):
     assert sorted((bytes(r["key"]), r["n"], r["top"]) for r in runs.totals().collect()) == [(b"a", 2, 3), (b"b", 2, 2), (b"c", 1, 2), (b"d", 2, 4)]
     assert [bytes(r["key"]) for r in runs.fresh(spark.createDataFrame([(b"a", 9), (b"z", 9)], "key binary, doc_id long")).collect()] == [b"z"]
     assert len(runs.levels) > 1
+    merged = [spark.table(name) for level in runs.levels for name in level]
+    with line_dedup._sorted_buckets(spark):  # no run is shuffled or sorted again
+        plan = merged[0].join(merged[-1].select("key").hint("merge"), "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["doc_id", "text", "gone", "gone_id", "lines", "kept", "doc", "key", "__gone", "a.b"]
+    line = "a line of more than forty characters that they share"
+    df = spark.createDataFrame([(k, line, *range(8)) for k in range(6)], ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names))
+    got = line_dedup.line_dedup(df)
+    assert got.columns == [*names, "n_lines", "n_dropped"]
+    assert sorted((r["doc_id"], r["text"], r["gone"], r["a.b"], r["n_dropped"]) for r in got.collect()) == [*((k, "", 0, 7, 1) for k in range(5)), (5, line, 0, 7, 0)]
 
 
 def test_chat_escapes_are_reversible():
