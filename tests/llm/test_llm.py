@@ -94,6 +94,18 @@ def test_token_counts_equal_the_library(spark, odd):
     assert Counter((r["n_bytes"], r["n_tokens"]) for r in got) == Counter((len((r["text"] or "").encode()), len(lib.encode(r["text"] or ""))) for r in odd.collect())
 
 
+def test_token_counts_with_a_full_table_and_without_resets(spark, monkeypatch):
+    """A table that is emptied again and again, and long texts without a space mark, over chunks of any size."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = tokenizer("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), token_count.PieceCounter(path)
+    monkeypatch.setattr(token_count, "MOST", 40)
+    for t in [*texts(spark, 20), "".join(texts(spark, 30)).replace(" ", ""), "日本語テキスト" * 500, "a" * 5000, " " * 700 + "x" + " " * 33]:
+        assert own.count(t, 64) == own.count(t) == len(lib.encode(t))
+        maps = [own.chunk_map(t[i : i + 50], not i) for i in range(0, len(t), 50)]
+        assert [m[1][1] + 1 for m in own.scan(maps)][:40] == [len(lib.encode(t[: i + 50])) for i in range(0, len(t), 50)][:40]  # prefixes
+
+
 def test_cuckoo_index_against_a_dict():
     rng = random.Random(5)
     index, plain = exact_dedup.CuckooIndex(4), {}
