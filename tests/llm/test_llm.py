@@ -251,6 +251,14 @@ def brute_components(ids, fps, radius=4):
     return [min((x for x in least[find(i)] if x is not None), default=None) for i in range(len(ids))]
 
 
+def test_memo_keeps_no_long_keys():
+    from viaduct.llm.common import Memo
+
+    m = Memo(len, cap=3)
+    assert [m["x" * n] for n in (1, 2, 3, 4, 500, 1, 500)] == [1, 2, 3, 4, 500, 1, 500]
+    assert max(map(len, [*m, *m.old])) == 4 and len(m) <= 3 and len(m.old) <= 3
+
+
 def test_simhash_against_brute_force(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD)] + [(20_000 + k, " ".join(f"w{j if j != k else -j}" for j in range(400))) for k in range(40)], "doc_id long, text string")
@@ -324,10 +332,39 @@ def test_quality_on_held_out_rows(spark):
     assert quality.score(quality.fit([]), "x") == 0.5 and quality.score(quality.fit([("a", 1)]), "b") > 0.99
 
 
+def test_quality_equals_plain_follow_the_regularised_leader():
+    """The vectorised steps against one weight at a time, in plain Python."""
+    rng = random.Random(1)
+    rows = [(" ".join(rng.choice(["ax", "by", "cz", "dw", "%%", "eq eq"]) for _ in range(rng.randint(0, 9))), k % 2) for k in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.002, 0.01
+    z, s = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + s[i] ** 0.5) / alpha + l2)
+
+    for _ in range(quality.EPOCHS):
+        for text, y in reversed(rows):
+            counts = Counter(quality.features(text).tolist())
+            x = {i: float(np.float32(c * (quality.SCALE / max(sum(counts.values()), 1)))) for i, c in counts.items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - ((s[i] + g * g) ** 0.5 - s[i] ** 0.5) / alpha * w[i]
+                s[i] += g * g
+    got = quality.fit(rows)
+    for text, _ in rows:
+        idx = quality.features(text).tolist()
+        dot = weight("bias") + (sum(map(weight, idx)) * quality.SCALE / len(idx) if idx else 0.0)
+        assert quality.score(got, text) == pytest.approx(1 / (1 + np.exp(-dot)), abs=1e-4)
+
+
 def test_toxicity_on_held_out_rows(spark):
+    """Both classes count apart; only 41 toxic rows are there to learn from, and six to catch."""
     train, test = split(spark, "toxic")
     s = toxicity.Scorer(toxicity.fit(train))
-    assert np.mean([(s.score(t) >= 0.5) == y for t, y in test]) >= 0.93
+    caught = [s.score(t) >= 0.5 for t, y in test if y]
+    assert np.mean(caught) >= 0.5 and np.mean([s.score(t) < 0.5 for t, y in test if not y]) >= 0.97
     assert all(0 <= s.score(t) <= 1 for t in ODD)
     assert toxicity.Scorer(toxicity.fit([])).score("x") == 0.5
 

@@ -29,9 +29,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests, a single machine), one below the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one below the warehouse on a single machine, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return at.rstrip("/")
 
@@ -78,7 +80,9 @@ def over_texts(df: DataFrame, id_col: str, text_col: str, schema: str, names: li
 
 
 class Memo(dict):
-    """Values of a pure function, in two generations: the newest `cap` at least, `2 * cap` at most."""
+    """Values of a pure function, in two generations: the newest `cap` at least, `2 * cap` at most. Keys beyond LONG aren't kept, so memory is bounded."""
+
+    LONG = 64
 
     def __init__(self, of: Callable, cap: int = 300_000):
         super().__init__()
@@ -88,6 +92,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.of(key)
+            if len(key) > self.LONG:
+                return value
         if len(self) >= self.cap:
             self.old = dict(self)
             self.clear()

@@ -172,10 +172,14 @@ def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> dict:
-    """Learned from at most `most` documents with a language that aren't held out, chosen by a hash of the id."""
+    """Learned from at most `most` documents with a language (and SAMPLE_BYTES of text) that aren't held out, chosen by a hash of the id.
+
+    Of rows that repeat an id the one with the smallest language and text counts."""
+    from .labelled import within_bytes
+
     known = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull())
     chosen = known.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("o")).distinct().orderBy("o", "id").limit(most)
     texts = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang")).filter(F.col("t").isNotNull())
     # at most `most` ids: a proven bound for the broadcast
-    rows = texts.join(F.broadcast(chosen), "id").collect()
-    return fit([(r["t"], r["lang"]) for r in sorted(rows, key=lambda r: (r["o"], r["id"], r["lang"], r["t"]))])
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "o").agg(F.min(F.struct("lang", "t")).alias("r")).select("id", "o", "r.lang", "r.t")
+    return fit([(r["t"], r["lang"]) for r in sorted(within_bytes(found).collect(), key=lambda r: (r["o"], r["id"]))])

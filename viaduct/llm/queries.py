@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
 
+
 def tokenizer(name: str) -> str:
-    """A vocabulary file: of the folder TOKENIZER_DIR where that is set, else of the installed collection."""
-    folder = os.environ.get("TOKENIZER_DIR")
-    if folder:
-        return os.path.join(folder, name)
+    """A vocabulary file of the installed collection."""
     import public_tokenizers
 
     return public_tokenizers.path(name)

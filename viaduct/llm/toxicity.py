@@ -23,7 +23,7 @@ from .common import Memo, over_texts
 
 BITS, K, EPOCHS, STEM = 22, 4, 6, 5
 #: Deviation of the first factors; the pull of weights and factors to zero, in deviations of a sum of chance gradients.
-START, PULL_W, PULL_V = 0.02, 2.5, 2.5
+START, PULL_W, PULL_V, DECAY = 0.02, 2.5, 2.5, 1e-3
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -87,7 +87,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> dict:
                 d = g + 1e-4 * wf
                 gw[f] = own = gw[f] + d * d
                 w[f] = wf - 0.3 * d / np.sqrt(own)
-                d = g * (s - vf) + 1e-3 * vf
+                d = g * (s - vf) + DECAY * vf
                 gv[f] = own = gv[f] + d * d
                 v[f] = vf - 0.05 * d / np.sqrt(own)
             if len(r):
