@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (a single machine), a folder below the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """spark.checkpoint.dir; where it is unset, a folder below the warehouse on a single machine, and an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return at.rstrip("/")
 
 
