@@ -84,7 +84,7 @@ class Memo(dict):
 
     LONG = 64
 
-    def __init__(self, of: Callable, cap: int = 300_000):
+    def __init__(self, of: Callable, cap: int = 120_000):
         super().__init__()
         self.of, self.cap, self.old = of, cap, {}
 

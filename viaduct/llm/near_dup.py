@@ -37,7 +37,7 @@ LANES = 4
 #: (radius of the first fingerprint, radius of all), and the same for sets of fewer than SMALL shingles.
 RADII, RADII_SMALL, SMALL = (22, 63), (28, 80), 16
 #: Rounds of one comparison for each class; after them all candidates in two components are compared.
-ROUNDS = 3
+ROUNDS = 2
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _NONE = np.uint64(2**64 - 1)
 
@@ -205,23 +205,21 @@ def simhash_groups(df: DataFrame, key: str = "row", text_col: str = "text", widt
     pairs = materialised(_candidate_pairs(nodes, threshold, 0, stripe), "candidates")
     ids = materialised(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")  # all others have no candidate
     sets = materialised(_sets(df.select(F.col(key).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "id", "text", width), "shingles")
-    met = materialised(nodes.select("id", "m", "fp").join(ids, "id", "left_semi"), "met-classes")
-    links, roots = None, None
-    turn: int | None = 0
+    met = materialised(nodes.join(ids, "id", "left_semi"), "met-classes")
+    turn = 0
     while True:
-        found = materialised(_verified(pairs, sets, threshold), "links")
+        found = _verified(pairs, sets, threshold)
+        if turn:  # links between components so far
+            root = met.select("id", "root")
+            found = found.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        found = materialised(found, "links")
         some = not found.isEmpty()
         if some:
-            links = found if links is None else links.union(found)
-            roots = materialised(components(links), "roots")
-        if turn is None:
+            joined = components(found).toDF("root", "least")
+            met = materialised(met.join(joined, "root", "left").select("id", F.coalesce("least", "root").alias("root"), "m", "fp"), "met-classes")
+        if turn == ROUNDS:
             break
-        turn = turn + 1 if some and turn + 1 < ROUNDS else None
-        now = met.withColumn("root", F.col("id"))
-        if roots is not None:
-            now = met.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        pairs = materialised(_candidate_pairs(now, threshold, turn, stripe), "candidates")
-    named = classes.select("digest", F.col("id").alias("component"))
-    if roots is not None:
-        named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component"))
+        turn = turn + 1 if some else ROUNDS
+        pairs = materialised(_candidate_pairs(met, threshold, turn if turn < ROUNDS else None, stripe), "candidates")
+    named = classes.join(met.select("id", "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component"))
     return rows.select(key, "digest").join(named, "digest").select(key, "component")

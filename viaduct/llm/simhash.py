@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialised, over_texts
-from .components import components
+from .components import components, merge
 
 STRIPE, TILE = 1 << 18, 512
 #: Tasks at most of one comparison.
@@ -94,18 +94,7 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
                 continue
             u, v = np.nonzero(near)
             u, v = u + i * TILE, v + j * TILE + shift
-            while True:
-                pu, pv = parent[u], parent[v]
-                differ = pu != pv
-                if not differ.any():
-                    break
-                u, v, pu, pv = u[differ], v[differ], pu[differ], pv[differ]
-                np.minimum.at(parent, np.maximum(pu, pv), np.minimum(pu, pv))
-                while True:
-                    up = parent[parent]
-                    if (up == parent).all():
-                        break
-                    parent = up
+            parent = merge(parent, u, v)
     other = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[other], nodes[parent[other]]
 
