@@ -63,11 +63,13 @@ def test_radii_meet_sets_at_exactly_the_threshold():
     """Pairs at 0.8, the hardest ones: of 12,000 at most a few lie beyond the radii."""
     rng, lost = np.random.default_rng(0), 0
     for a, b, common in ((4, 5, 4), (5, 6, 5), (8, 10, 8), (16, 20, 16), (20, 25, 20), (36, 36, 32), (100, 125, 100), (270, 270, 240)):
-        near, radius = near_dup.RADII_SMALL if min(a, b) < near_dup.SMALL else near_dup.RADII
-        for _ in range(1500):
-            x = rng.integers(-(2**63), 2**63 - 1, a + b - common)
-            d = np.bitwise_count((near_dup.set_fingerprints(x[:a]) ^ near_dup.set_fingerprints(x[a - common :])).view(np.uint64))
-            lost += bool(d[0] > near or d.sum() > radius)
+        radii = near_dup.RADII_SMALL if min(a, b) < near_dup.SMALL else near_dup.RADII
+        for lanes, times in ((near_dup.LANES, 1500), (near_dup.FINE, 150)):
+            near, radius = radii[lanes]
+            for _ in range(times):
+                x = rng.integers(-(2**63), 2**63 - 1, a + b - common)
+                d = np.bitwise_count((near_dup.set_fingerprints(x[:a], lanes) ^ near_dup.set_fingerprints(x[a - common :], lanes)).view(np.uint64))
+                lost += bool(d[0] > near or d.sum() > radius)
     assert lost <= 5
 
 

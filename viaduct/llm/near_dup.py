@@ -11,8 +11,10 @@ fewer words, none if it has no words), as 64-bit hashes. Equal sets, empty ones
    shingles differ in 12 and 48 bits) and get radii of 28 and 80. So of pairs at exactly 0.8 fewer than one in five
    thousand are not met (measured in the tests), and of more similar ones fewer still.
 2. Verifying. Candidates are compared by their whole sets. Only components matter, so pairs that links have connected
-   already are skipped: in some rounds each class is compared with one candidate of another component, the nearest one
-   first and then any; at the end all candidates that still lie in two components are compared.
+   already are skipped. First each class is compared with its nearest candidate. Classes that have one get FINE
+   fingerprints, whose distance tells similarities apart by about 0.02, and each is compared with its nearest candidate of
+   another component; at the end all candidates that still lie in two components are compared. So a group of near
+   copies is connected by about as many comparisons as it has members, and only pairs close to the threshold are left.
 
 Rows are named by a key without nulls or repeats, which the caller gives. Null texts are empty. A row keeps no other column.
 """
@@ -33,9 +35,10 @@ from .common import Memo, materialised, over_texts
 from .components import components
 from .simhash import _LOWER, _WORDS, STRIPE, TILE, met_stripes
 
-LANES = 4
-#: (radius of the first fingerprint, radius of all), and the same for sets of fewer than SMALL shingles.
-RADII, RADII_SMALL, SMALL = (22, 63), (28, 80), 16
+#: Fingerprints of every class, and of the classes that have a candidate.
+LANES, FINE = 4, 64
+#: By the number of fingerprints: (radius of the first one, radius of all), and the same for sets of fewer than SMALL shingles.
+RADII, RADII_SMALL, SMALL = {LANES: (22, 63), FINE: (22, 734)}, {LANES: (28, 80), FINE: (28, 870)}, 16
 #: Rounds of one comparison for each class; after them all candidates in two components are compared.
 ROUNDS = 2
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,13 +84,18 @@ def _words() -> Callable:
 
 
 def _sets(df: DataFrame, key: str, text_col: str, width: int) -> DataFrame:
-    """(key, shingles array<bigint>)"""
+    """(key, shingles array<bigint>, fine array<bigint>)"""
 
     def make() -> Callable:
         word = _words()
-        return lambda text: (shingle_set(text, width, word),)
 
-    return over_texts(df, key, text_col, "shingles array<bigint>", ["shingles"], make)
+        def one(text: str | None) -> tuple:
+            x = shingle_set(text, width, word)
+            return x, set_fingerprints(x, FINE)
+
+        return one
+
+    return over_texts(df, key, text_col, "shingles array<bigint>, fine array<bigint>", ["shingles", "fine"], make)
 
 
 def _fingerprints(df: DataFrame, key: str, text_col: str, width: int) -> DataFrame:
@@ -118,18 +126,27 @@ class Stripe:
         self.least, self.most = np.minimum.reduceat(ones, cuts), np.maximum.reduceat(ones, cuts)
 
 
-def candidates(a: Stripe, b: Stripe, threshold: float, turn: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of candidates in two components, between a and b (or inside a, if b is a): all of them if turn is None, else one
-    for each class, the nearest at turn 0 and any at later turns."""
+def distances(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Differing bits of x[u] and y[v], some pairs at a time."""
+    out = np.zeros(len(u), np.uint64)
+    for at in range(0, len(u), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        out[part] = np.bitwise_count(x[u[part]] ^ y[v[part]]).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def candidates(a: Stripe, b: Stripe, threshold: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of candidates in two components, between a and b (or inside a, if b is a): all of them, or the nearest one of each class."""
     same = a is b
+    wide, narrow = RADII_SMALL[a.fp.shape[1]], RADII[a.fp.shape[1]]
     best_a = np.full(len(a.ids), _NONE)
     best_b = best_a if same else np.full(len(b.ids), _NONE)
-    every: list[tuple] = [(a.ids[:0], a.ids[:0])]
+    found: list[tuple] = [(a.ids[:0], a.ids[:0])]
     for i in range(len(a.least)):
         fits = (b.most_m >= threshold * a.least_m[i] - 1e-9) & (a.most_m[i] >= threshold * b.least_m - 1e-9)
         apart = np.maximum(b.least - a.most[i], a.least[i] - b.most)
-        for j in np.flatnonzero(fits & (apart <= RADII_SMALL[0])).tolist():
-            near, radius = RADII_SMALL if min(a.least_m[i], b.least_m[j]) < SMALL else RADII
+        for j in np.flatnonzero(fits & (apart <= wide[0])).tolist():
+            near, radius = wide if min(a.least_m[i], b.least_m[j]) < SMALL else narrow
             if apart[j] > near or (same and j < i):
                 continue
             u, v = np.nonzero(np.bitwise_count(a.first[i * TILE : (i + 1) * TILE, None] ^ b.first[None, j * TILE : (j + 1) * TILE]) <= near)
@@ -139,20 +156,18 @@ def candidates(a: Stripe, b: Stripe, threshold: float, turn: int | None) -> tupl
             mu, mv = a.m[u], b.m[v]
             fit = (np.minimum(mu, mv) >= threshold * np.maximum(mu, mv) - 1e-9) & (a.roots[u] != b.roots[v])
             u, v = u[fit], v[fit]
-            d = np.bitwise_count(a.fp[u] ^ b.fp[v]).sum(axis=1, dtype=np.uint64)
+            d = distances(a.fp, b.fp, u, v)
             met = d <= radius
             u, v, d = u[met], v[met], d[met]
             if not len(u):
                 continue
-            if turn is None:
-                every.append((a.ids[u], b.ids[v]))
+            if every:
+                found.append((a.ids[u], b.ids[v]))
                 continue
-            order = d if turn == 0 else _mixed((a.ids[u] ^ b.ids[v]).view(np.uint64) + np.uint64(turn) * _P) >> np.uint64(34)
-            order = order << np.uint64(32)
-            np.minimum.at(best_a, u, order | v.astype(np.uint64))
-            np.minimum.at(best_b, v, order | u.astype(np.uint64))
-    if turn is None:
-        x, y = (np.concatenate(c) for c in zip(*every, strict=True))
+            np.minimum.at(best_a, u, d << np.uint64(32) | v.astype(np.uint64))
+            np.minimum.at(best_b, v, d << np.uint64(32) | u.astype(np.uint64))
+    if every:
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
         return x, y
     place = np.uint64(2**32 - 1)
     has_a, has_b = np.flatnonzero(best_a != _NONE), np.flatnonzero(best_b != _NONE)
@@ -162,22 +177,22 @@ def candidates(a: Stripe, b: Stripe, threshold: float, turn: int | None) -> tupl
     return np.concatenate([x, a.ids[best_b[has_b] & place]]), np.concatenate([y, b.ids[has_b]])
 
 
-def _candidate_pairs(nodes: DataFrame, threshold: float, turn: int | None, stripe: int) -> DataFrame:
+def _candidate_pairs(nodes: DataFrame, threshold: float, every: bool, stripe: int) -> DataFrame:
     """(a, b), a < b, of nodes (id, root, m, fp)."""
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         second = group.column("second").to_numpy()
         cols = [group.column(c).to_numpy().astype(np.int64) for c in ("id", "root", "m")]
-        fp = group.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+        fp = group.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(second), -1)
 
         def side(mask: np.ndarray) -> Stripe:
             return Stripe(*(c[mask] for c in cols), fp[mask])
 
         if key[0].as_py() == key[1].as_py():
             one = side(~second)
-            x, y = candidates(one, one, threshold, turn)
+            x, y = candidates(one, one, threshold, every)
         elif second.any() and not second.all():
-            x, y = candidates(side(~second), side(second), threshold, turn)
+            x, y = candidates(side(~second), side(second), threshold, every)
         else:
             x = y = cols[0][:0]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
@@ -202,10 +217,10 @@ def simhash_groups(df: DataFrame, key: str = "row", text_col: str = "text", widt
     classes = materialised(rows.groupBy("digest").agg(F.min(key).alias("id"), F.first("m").alias("m"), F.first("fp").alias("fp")), "sets")
     least = ceil(threshold / (1 - threshold) - 1e-9)  # smaller sets reach the threshold with their equals alone
     nodes = classes.filter(F.col("m") >= least).select("id", F.col("id").alias("root"), "m", "fp")
-    pairs = materialised(_candidate_pairs(nodes, threshold, 0, stripe), "candidates")
+    pairs = materialised(_candidate_pairs(nodes, threshold, False, stripe), "candidates")
     ids = materialised(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "met")  # all others have no candidate
     sets = materialised(_sets(df.select(F.col(key).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi"), "id", "text", width), "shingles")
-    met = materialised(nodes.join(ids, "id", "left_semi"), "met-classes")
+    met = nodes.select("id", "root", "m").join(sets.select("id", F.col("fine").alias("fp")), "id")
     turn = 0
     while True:
         found = _verified(pairs, sets, threshold)
@@ -220,6 +235,6 @@ def simhash_groups(df: DataFrame, key: str = "row", text_col: str = "text", widt
         if turn == ROUNDS:
             break
         turn = turn + 1 if some else ROUNDS
-        pairs = materialised(_candidate_pairs(met, threshold, turn if turn < ROUNDS else None, stripe), "candidates")
+        pairs = materialised(_candidate_pairs(met, threshold, turn == ROUNDS, stripe), "candidates")
     named = classes.join(met.select("id", "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component"))
     return rows.select(key, "digest").join(named, "digest").select(key, "component")
