@@ -5,6 +5,8 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,17 @@ def test_monthly_counts_keep_empty_months(spark, tmp_path):
         spark.createDataFrame(rows, cols).coalesce(1).toPandas().to_parquet(tmp_path / f"{name}.parquet")
     got = [tuple(r) for r in readers.ev_monthly(spark, str(tmp_path)).collect()]
     assert got == [("2023_01", 2, datetime.date(2023, 1, 1)), ("2023_02", 0, datetime.date(2023, 2, 1))]
+    cat, kind = "CATEGORÍA_VEHÍCULO_ELÉCTRICO", "CLAVE_TRAMITE"
+    at = tmp_path / "mixed"  # each file has columns of its own
+    at.mkdir()
+    pq.write_table(pa.table({"x": [1, 2, 3]}), at / "2024_01.parquet")
+    pq.write_table(pa.table({cat: ["BEV", "PHEV", "HEV"]}), at / "2024_02.parquet")
+    pq.write_table(pa.table({cat: ["BEV", "PHEV", None], kind: ["1", "2", "1"]}), at / "2024_03.parquet")
+    pq.write_table(pa.table({cat: ["BEV"], kind: pa.array([None], pa.string())}), at / "2024_04.parquet")
+    pq.write_table(pa.table({cat: pa.array([], pa.string())}), at / "2024_05.parquet")
+    (at / "2024_06.parquet").write_bytes(b"not parquet")
+    got = [(r["year_month"], r["ev_registrations"]) for r in readers.ev_monthly(spark, str(at)).collect()]
+    assert got == [("2024_01", 0), ("2024_02", 2), ("2024_03", 1), ("2024_04", 0), ("2024_05", 0)]
     (tmp_path / "none").mkdir()
     assert readers.ev_monthly(spark, str(tmp_path / "none")).count() == 0
 

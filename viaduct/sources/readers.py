@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geo, text
-from ..schemas import EV_MONTHLY, POPULATION, PROVINCES, TOURISM
+from ..schemas import POPULATION, PROVINCES, TOURISM
 
 
 def geojson(spark: SparkSession, path: str, geometry: str, properties: str | None = None) -> DataFrame:
@@ -140,21 +144,33 @@ def grid_capacity(spark: SparkSession, paths: dict[str, list[str]], distributor:
 
 
 def ev_monthly(spark: SparkSession, path: str) -> DataFrame:
-    """Registrations of battery and plug-in cars for each monthly file yyyy_MM.parquet; months without any count 0."""
-    try:
-        df = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    except Exception as e:
-        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], EV_MONTHLY)
-        raise
-    have = df.columns
-    ev = F.lit(True)
-    if "CATEGORÍA_VEHÍCULO_ELÉCTRICO" in have:
-        ev = ev & F.col("CATEGORÍA_VEHÍCULO_ELÉCTRICO").isin("BEV", "PHEV")
-    if "CLAVE_TRAMITE" in have:
-        ev = ev & (F.col("CLAVE_TRAMITE") == "1")
-    month = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}_\d{2})", 1)
-    out = df.select(month.alias("year_month"), ev.alias("ev")).groupBy("year_month").agg(F.count_if(F.col("ev")).alias("ev_registrations"))
+    """Registrations of battery and plug-in cars for each monthly file yyyy_MM.parquet; months without any count 0.
+
+    Each file is judged by its own columns: without the category it counts 0, without the kind of procedure all of its rows are
+    registrations. Files that can't be read are left out. The names and footers of the files, one a month, are read by the driver."""
+    category, procedure = "CATEGORÍA_VEHÍCULO_ELÉCTRICO", "CLAVE_TRAMITE"
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    groups: dict[str, tuple] = {}
+    months = []
+    for (name,) in listed.orderBy("path").collect():
+        try:
+            fields = [f for f in spark.read.parquet(name).schema if f.name in (category, procedure)]
+        except Exception as e:
+            if any(x in str(e) for x in ("FAILED_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "is not a Parquet file", "CANNOT_READ_FILE_FOOTER")):
+                continue
+            raise
+        months.append((re.sub(r"\.parquet$", "", unquote(name).rsplit("/", 1)[-1])[:7],))
+        schema = StructType(fields)
+        if category in schema.names:
+            groups.setdefault(schema.json(), (schema, []))[1].append(name)
+    counts = spark.createDataFrame(months, "year_month string").select("year_month", F.lit(False).alias("ev"))
+    for schema, names in groups.values():
+        ev = F.col(category).isin("BEV", "PHEV")
+        if procedure in schema.names:
+            ev = ev & (F.col(procedure) == "1")
+        month = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}_\d{2})", 1)
+        counts = counts.union(spark.read.schema(schema).option("ignoreCorruptFiles", True).parquet(*names).select(month, ev))
+    out = counts.groupBy("year_month").agg(F.count_if(F.col("ev")).alias("ev_registrations"))
     return out.withColumn("date", F.to_date(F.col("year_month"), "yyyy_MM")).orderBy("date")
 
 
