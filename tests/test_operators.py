@@ -1,5 +1,6 @@
 """Operators against brute force and small cases worked out by hand."""
 
+import math
 import random
 
 import pytest
@@ -117,3 +118,22 @@ def test_contract(spark):
     with pytest.raises(validate.ContractError):
         validate.columns(f1, FILE_2)
     validate.require(f1, f2.filter("location_id = 'a'"), f3.filter("bottleneck_id = 'a'"))
+
+
+def test_nearest_within_km_up_to_the_poles_and_over_the_date_line(spark):
+    rng = random.Random(3)
+    pts = [(i, rng.uniform(-89.9, 89.9) if i % 2 else rng.choice([-1, 1]) * rng.uniform(75, 90), rng.uniform(-180, 180)) for i in range(400)]
+    pts += [(1000, 80.0, 0.0), (1001, 10.0, 179.99), (1002, -10.0, -179.99), (1003, 89.95, 10.0)]
+    sites = [(i, max(-90.0, min(90.0, lat + rng.uniform(-0.2, 0.2))), (lon + rng.choice([0.1, 1.0, 5.0]) * rng.uniform(-1, 1) + 180) % 360 - 180) for i, lat, lon in pts[:300]]
+    sites += [(2000, 80.0, 1.2), (2001, 10.0, -179.9), (2002, -10.0, 179.9), (2003, 89.95, -170.0)]
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 12742.0 * math.asin(min(1.0, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    want = {}
+    for i, lat, lon in pts:
+        near = min((km(lat, lon, b, c), j) for j, b, c in sites)
+        want[i] = near[1] if near[0] <= 25 else None
+    got = joins.nearest_within_km(spark.createDataFrame(pts, "point_id long, lat double, lon double"), spark.createDataFrame(sites, "site_id long, s_lat double, s_lon double"), 25.0, "point_id", "site_id").collect()
+    assert {r["point_id"]: r["site_id"] for r in got} == want and None not in (want[1000], want[1001], want[1002], want[1003])

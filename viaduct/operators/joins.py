@@ -7,6 +7,7 @@ only decides who meets whom. No side is broadcast by hand.
 from __future__ import annotations
 
 from functools import reduce
+from math import pi, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,12 +85,24 @@ def nearest_edge(points: DataFrame, edges: DataFrame, radius: float, point_id: s
 def nearest_within_km(points: DataFrame, sites: DataFrame, radius_km: float, point_id: str, site_id: str) -> DataFrame:
     """Each point (lat, lon) with its nearest site (s_lat, s_lon) at most radius_km away, or nulls: (point_id, site_id, dist_km).
 
-    Cells are as high and, at 60 degrees of latitude, as wide as the radius; a site stands in its cell and the eight around."""
+    Bands of latitude are as high as the radius. A band is cut into equal cells that are as wide as the radius reaches at its
+    end nearer to a pole, where that is all around into one; a site stands in its cell and the eight around, over the
+    meridian of 180 degrees too."""
     high = radius_km / 111.0
-    wide = high / 0.5
+    reach = sin(min(radius_km / geo.EARTH_KM, pi / 2))
+
+    def around(cy: Column) -> Column:
+        shrunk = F.cos(F.radians(F.least(F.greatest(F.abs(cy), F.abs(cy + 1)) * high, F.lit(90.0))))
+        return F.when(shrunk > reach, F.greatest(F.floor(360.0 / F.degrees(F.asin(F.lit(reach) / shrunk))), F.lit(1))).otherwise(F.lit(1)).cast("bigint")
+
+    def place(lon: Column, cells: Column) -> Column:
+        return F.floor((lon + 180.0) / 360.0 * cells).cast("bigint")
+
     s = sites.select(site_id, "s_lat", "s_lon").withColumn("__cy", F.explode(F.array(*(_cell(F.col("s_lat"), high) + k for k in (-1, 0, 1)))))
-    s = s.withColumn("__cx", F.explode(F.array(*(_cell(F.col("s_lon"), wide) + k for k in (-1, 0, 1)))))
-    p = points.select(point_id, "lat", "lon").withColumn("__cy", _cell(F.col("lat"), high)).withColumn("__cx", _cell(F.col("lon"), wide))
+    s = s.withColumn("__n", around(F.col("__cy"))).withColumn("__at", place(F.col("s_lon"), F.col("__n")))
+    s = s.withColumn("__cx", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("__at") + k, F.col("__n")) for k in (-1, 0, 1)))))).drop("__n", "__at")
+    p = points.select(point_id, "lat", "lon").withColumn("__cy", _cell(F.col("lat"), high))
+    p = p.withColumn("__cx", F.pmod(place(F.col("lon"), around(F.col("__cy"))), around(F.col("__cy"))))
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
     near = p.join(s, ["__cx", "__cy"]).withColumn("d", d).filter(F.col("d") <= radius_km).groupBy(point_id).agg(F.min(F.struct("d", site_id)).alias("b"))
     return points.select(point_id).join(near, point_id, "left").select(point_id, F.col(f"b.{site_id}").alias(site_id), F.col("b.d").alias("dist_km"))
