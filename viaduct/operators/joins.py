@@ -48,7 +48,7 @@ def edge_candidates(points: DataFrame, edges: DataFrame, radius: float) -> DataF
 
 def within_distance(points: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
     """Points less than radius from any edge, each once; nothing is dissolved."""
-    p = points.withColumn("__row", F.monotonically_increasing_id()) if "point_id" not in points.columns else points
+    p = written(points.withColumn("__row", F.monotonically_increasing_id()), "points") if "point_id" not in points.columns else points
     key = "point_id" if "point_id" in points.columns else "__row"
     near = edge_candidates(p.select(key, "x", "y"), edges.select("x1", "y1", "x2", "y2"), radius).filter(F.col("dist") < radius).select(key)
     return p.join(near, key, "left_semi").drop("__row")
@@ -144,8 +144,10 @@ def ratio(positives: DataFrame, fleet: DataFrame, on: list[str], num: str, den:
 
 
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """Row ids 0..n-1 in the given order without gathering the rows: ranges are counted and each adds what stands before."""
-    dealt = df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).withColumn("__part", F.spark_partition_id())
+    """Row ids 0..n-1 in the given order without gathering the rows: ranges are counted and each adds what stands before.
+
+    The rows are written with the number of their range, so that counting and numbering see the same ranges."""
+    dealt = written(df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).withColumn("__part", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("__part").orderBy(*order)
     rows = dealt.withColumn("__in", F.row_number().over(inner))
     counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
