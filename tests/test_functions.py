@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,29 @@ def test_projection_goes_there_and_back(spark):
     assert on_axis["x"] == pytest.approx(500000.0) and on_axis["y"] == pytest.approx(4427757.2, abs=1.0)
     far = spark.createDataFrame([(500000.0, 1000000.0)], "x double, y double").select(lat.alias("a"), lon.alias("b")).first()
     assert far["a"] is None and far["b"] is None
+
+
+def exact_utm(lat, lon):
+    """Gauss and Krüger's projection by its definition: the meridian's length continued along complex isometric latitudes."""
+    a, f = 6378137.0, 1 / 298.257222101
+    e = math.sqrt(f * (2 - f))
+
+    def isometric(p):
+        return np.arctanh(np.sin(p)) - e * np.arctanh(e * np.sin(p))
+
+    want = isometric(complex(math.radians(lat))) + 1j * math.radians(lon + 3)
+    phi = complex(math.radians(lat), 0.1)
+    for _ in range(60):
+        slope = (1 - e * e) / (np.cos(phi) * (1 - (e * np.sin(phi)) ** 2))
+        phi -= (isometric(phi) - want) / slope
+    nodes, weights = np.polynomial.legendre.leggauss(60)
+    on = phi * (nodes + 1) / 2
+    arc = a * (1 - e * e) * (weights * (1 - (e * np.sin(on)) ** 2) ** -1.5).sum() * phi / 2
+    return 500000.0 + 0.9996 * arc.imag, 0.9996 * arc.real
+
+
+def test_projection_off_the_axis_by_its_definition(spark):
+    rows = [(36.0, -9.0), (40.416775, -3.70379), (43.7, 3.3), (39.5, 4.2), (36.1, 0.1)]
+    x, y = geo.to_utm(F.col("lat"), F.col("lon"))
+    for (lat, lon), r in zip(rows, spark.createDataFrame(rows, "lat double, lon double").select(x.alias("x"), y.alias("y")).collect(), strict=True):
+        assert (r["x"], r["y"]) == pytest.approx(exact_utm(lat, lon), abs=1e-3)

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from viaduct.plans import registry
+from viaduct.operators import validate
+from viaduct.plans import registry, siting
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,6 +37,11 @@ def test_query(spark, con, name):
         assert sorted(cols) == sorted(df.columns) and rows == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_files_as_made_keep_the_contract(spark):
+    validate.require(siting.contract_file1(spark, SF), siting.contract_file2(spark, SF), siting.contract_file3(spark, SF))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

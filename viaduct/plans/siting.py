@@ -52,7 +52,10 @@ def greedy_placement(spark: SparkSession, d: str) -> DataFrame:
     return placement.place_stations(gap_intervals(spark, d), "road", DEFAULT.max_spacing_km)
 
 
-@query()
+@query("""WITH RECURSIVE st AS (SELECT DISTINCT o_custkey % 100 AS road, ((o_orderkey * 7919) % 20000)::DOUBLE AS pk FROM orders),
+nx AS (SELECT a.road, a.pk, coalesce(max(b.pk) FILTER (WHERE b.pk - a.pk <= 600), min(b.pk)) AS nxt FROM st a JOIN st b ON a.road = b.road AND b.pk > a.pk GROUP BY 1, 2),
+c AS (SELECT road, min(pk) AS pk FROM st GROUP BY 1 UNION ALL SELECT c.road, nx.nxt FROM c JOIN nx ON c.road = nx.road AND c.pk = nx.pk)
+SELECT road, count(*)::INTEGER AS n_chosen, min(pk) AS first_pk, max(pk) AS last_pk FROM c GROUP BY 1""")
 def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     return placement.greedy_cover(_stations(spark, d), "road", "pk", 600.0).select("road", F.size("chosen").alias("n_chosen"), F.col("chosen")[0].alias("first_pk"), F.element_at("chosen", -1).alias("last_pk"))
 
@@ -103,9 +106,25 @@ def contract_file1(spark: SparkSession, d: str) -> DataFrame:
     return own.crossJoin(existing).crossJoin(ev).select(FILE_1)  # one row each
 
 
-@query("SELECT 'x' AS rule, 'x' AS row_id WHERE false")
+@query(f"""{_PROPOSED}, k AS (SELECT location_id AS row_id, CAST(substr(location_id, 5) AS INTEGER) AS k, grid_status <> 'Sufficient' AS friction FROM ps)
+SELECT 'file_1 has one row' AS rule, '2' AS row_id
+UNION ALL SELECT 'file_2 status in domain', row_id FROM k WHERE k % 7 = 0 OR k % 11 = 0
+UNION ALL SELECT 'file_3 status is friction', row_id FROM k WHERE friction AND k % 17 = 0
+UNION ALL SELECT 'file_3 distributor in domain', row_id FROM k WHERE friction AND k % 5 = 0
+UNION ALL SELECT 'file_3 demand is chargers by power', row_id FROM k WHERE friction AND k % 13 = 0""")
 def contract_violations(spark: SparkSession, d: str) -> DataFrame:
-    return validate.violations(contract_file1(spark, d), contract_file2(spark, d), contract_file3(spark, d))
+    """The contract files with a rule broken in every few rows, so that each rule has something to find."""
+
+    def broken(df: DataFrame, ident: str, column: str, every: int, value) -> DataFrame:
+        number = F.substring(ident, 5, 20).cast("int")
+        return df.withColumn(column, F.when(number % every == 0, value).otherwise(F.col(column)))
+
+    one = contract_file1(spark, d)
+    two = broken(broken(contract_file2(spark, d), "location_id", "grid_status", 7, F.lit("Unknown")), "location_id", "grid_status", 11, F.lit(None))
+    three = contract_file3(spark, d)
+    for column, every, value in (("grid_status", 17, F.lit("Sufficient")), ("distributor_network", 5, F.lit("Other")), ("estimated_demand_kw", 13, F.col("estimated_demand_kw") + 1)):
+        three = broken(three, "bottleneck_id", column, every, value)
+    return validate.violations(one.union(one), two, three)
 
 
 @query(f"""{_PROPOSED} SELECT location_id, latitude, longitude, CASE grid_status WHEN 'Sufficient' THEN 'green' WHEN 'Moderate' THEN 'orange' ELSE 'red' END AS color, 'location_id: ' || location_id || '; grid_status: ' || grid_status AS popup, grid_status FROM ps""")

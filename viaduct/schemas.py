@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Columns of the contract files in their order, and the values that they may hold.
 FILE_1 = ["total_proposed_stations", "total_existing_stations_baseline", "total_friction_points", "total_ev_projected_2027"]
 FILE_2 = ["location_id", "latitude", "longitude", "route_segment", "n_chargers_proposed", "grid_status"]
 FILE_3 = ["bottleneck_id", "latitude", "longitude", "route_segment", "distributor_network", "estimated_demand_kw", "grid_status"]
