@@ -38,11 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialised(df: DataFrame, what: str) -> DataFrame:
+def materialised(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again: the lineage ends there, and a lost executor takes nothing with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
