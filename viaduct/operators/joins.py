@@ -34,14 +34,31 @@ def _covered(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(_cell(lo, size), _cell(hi, size))
 
 
+def walked_cells(edges: DataFrame, size: float, ring: int = 0) -> DataFrame:
+    """edges with __cx, __cy: a row for each cell that an edge (x1, y1, x2, y2) passes through, or that lies within `ring` cells of one.
+
+    The edge is walked column by column, and in each only the rows between its heights there are taken: a long diagonal
+    stands in as many cells as it passes, not in those of its box."""
+    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
+    e = edges.withColumn("__cx", F.explode(F.sequence(_cell(lo, size) - ring, _cell(hi, size) + ring)))
+    left = F.greatest(lo, F.least((F.col("__cx") - ring) * size, hi))
+    right = F.least(hi, F.greatest((F.col("__cx") + ring + 1) * size, lo))
+    slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    at = lambda x: F.coalesce(F.col("y1") + (x - F.col("x1")) * slope, F.col("y1"))
+    # an upright edge is seen whole in each of its columns; the margin is wider than what is lost to rounding
+    upright = F.col("x1") == F.col("x2")
+    margin = (F.abs("y1") + F.abs("y2") + F.lit(float(size))) * 1e-12
+    low = F.when(upright, F.least("y1", "y2")).otherwise(F.least(at(left), at(right))) - margin
+    high = F.when(upright, F.greatest("y1", "y2")).otherwise(F.greatest(at(left), at(right))) + margin
+    return e.withColumn("__cy", F.explode(F.sequence(_cell(low, size) - ring, _cell(high, size) + ring)))
+
+
 def edge_candidates(points: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
     """Pairs of points (x, y) and edges (x1, y1, x2, y2) with their distance, at most radius apart.
 
-    An edge stands in every cell of its box grown by radius, a point in its own; long edges are found whole."""
-    size = radius
-    e = edges.withColumn("__cx", F.explode(_covered(F.least("x1", "x2") - radius, F.greatest("x1", "x2") + radius, size)))
-    e = e.withColumn("__cy", F.explode(_covered(F.least("y1", "y2") - radius, F.greatest("y1", "y2") + radius, size)))
-    p = points.withColumn("__cx", _cell(F.col("x"), size)).withColumn("__cy", _cell(F.col("y"), size))
+    An edge stands in the cells that it passes and those around them, a point in its own."""
+    e = walked_cells(edges, radius, 1)
+    p = points.withColumn("__cx", _cell(F.col("x"), radius)).withColumn("__cy", _cell(F.col("y"), radius))
     d = geo.to_edge(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
     return p.join(e, ["__cx", "__cy"]).drop("__cx", "__cy").withColumn("dist", d).filter(F.col("dist") <= radius)
 
@@ -54,32 +71,71 @@ def within_distance(points: DataFrame, edges: DataFrame, radius: float) -> DataF
     return p.join(near, key, "left_semi").drop("__row")
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, radius: float, point_id: str = "point_id", edge_id: str = "edge_id", growth: float = 4.0) -> DataFrame:
-    """(point_id, edge_id, dist): the nearest edge of each point, ties to the smallest edge_id.
+def _around(level: Column, x: str = "__px", y: str = "__py") -> list[Column]:
+    """The nine cells of a level around a cell of the finest one: (__cx, __cy)."""
+    side = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    at = lambda c: F.floor(F.col(c) / F.pow(F.lit(float(GROWTH)), level)).cast("bigint")
+    return [F.explode(F.flatten(F.transform(side, lambda i: F.transform(side, lambda j: F.struct((at(x) + i).alias("__cx"), (at(y) + j).alias("__cy")))))).alias("__c")]
+
+
+#: Cells of a level in a row of a cell of the next.
+GROWTH = 4
 
-    The radius grows from round to round, and only points without a find are searched again. A round is written once, so
-    later rounds don't repeat earlier ones; the last one reaches from end to end of all places. Points without a place and
-    all points where there are no edges have no row."""
-    left = written(points.select(point_id, "x", "y").na.drop(), "points")
+
+def nearest_edge(points: DataFrame, edges: DataFrame, radius: float, point_id: str = "point_id", edge_id: str = "edge_id") -> DataFrame:
+    """(point_id, edge_id, dist): the nearest edge of each point, ties to the smallest edge_id; radius: side of the finest cells.
+
+    First, edges within radius are found by cells. For the points without one, the cells that edges pass are joined to an index of
+    levels, each with cells GROWTH times as wide. A point starts one level above the finest at which a cell around it is taken,
+    so that the nine cells there hold its nearest edge. From there it goes down: a taken cell is an upper bound of the distance
+    (its farthest corner) and a lower one (its nearest side), and only cells that can beat the best bound so far are opened.
+    At the finest level the edges of the cells that are left are measured. So a point meets the edges of a few cells, however
+    far it is. A level is written once. Points without a place, and all points where there are no edges, have no row."""
+    p = written(points.select(point_id, "x", "y").na.drop(), "points")
     e = written(edges.select(edge_id, "x1", "y1", "x2", "y2").na.drop(), "edges")
-    spans = left.select("x", "y").union(e.select("x1", "y1")).union(e.select("x2", "y2"))
-    w, h = spans.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    found = []
-    if w is not None and not e.isEmpty():
-        whole = w + h
-        while True:
-            near = edge_candidates(left, e, radius).groupBy(point_id).agg(F.min(F.struct("dist", edge_id)).alias("b"))
-            near = written(near.select(point_id, F.col(f"b.{edge_id}").alias(edge_id), F.col("b.dist").alias("dist")), "near")
-            found.append(near)
-            if radius > whole:
-                break
-            left = written(left.join(near.select(point_id), point_id, "left_anti"), "points")
-            if left.isEmpty():
-                break
-            radius *= growth
-    if not found:
-        return left.crossJoin(e).select(point_id, edge_id, F.lit(0.0).alias("dist")).limit(0)
-    return reduce(DataFrame.union, found)
+    best = F.min(F.struct("dist", edge_id)).alias("b")
+    picked = [point_id, F.col(f"b.{edge_id}").alias(edge_id), F.col("b.dist").alias("dist")]
+    near = written(edge_candidates(p, e, radius).groupBy(point_id).agg(best).select(*picked), "near")
+    left = written(p.join(near.select(point_id), point_id, "left_anti").withColumns({"__px": _cell(F.col("x"), radius), "__py": _cell(F.col("y"), radius)}), "points")
+    cells = written(walked_cells(e, radius), "cells")
+    spans = left.select("__px", "__py").union(cells.select("__cx", "__cy"))
+    ends = spans.agg(F.max("__px") - F.min("__px"), F.max("__py") - F.min("__py")).first()
+    if left.isEmpty() or cells.isEmpty():
+        return near
+    top = 1  # where all places lie in nine cells
+    while GROWTH**top <= max(ends):
+        top += 1
+    up = lambda c, n: F.floor(F.col(c) / GROWTH**n).cast("bigint").alias(c)
+    taken = [written(cells.select("__cx", "__cy").distinct(), "level")]
+    for _ in range(top):
+        taken.append(written(taken[-1].select(up("__cx", 1), up("__cy", 1)).distinct(), "level"))
+    index = reduce(DataFrame.union, (c.select(F.lit(k).alias("level"), "__cx", "__cy") for k, c in enumerate(taken) if k))
+    own = left.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(top))))
+    seen = own.select(point_id, "level", *_around(F.col("level"))).select(point_id, "level", "__c.*").join(index, ["level", "__cx", "__cy"])
+    first = seen.groupBy(point_id).agg(F.least(F.min("level") + 1, F.lit(top)).alias("level"))
+    start = written(left.join(first, point_id), "start")
+
+    def bounded(rows: DataFrame, size: float) -> DataFrame:
+        """rows whose cell can hold a nearer edge than the farthest corner of another one."""
+        x0, y0 = F.col("__cx") * size, F.col("__cy") * size
+        dx = F.greatest(x0 - F.col("x"), F.col("x") - x0 - size, F.lit(0.0))
+        dy = F.greatest(y0 - F.col("y"), F.col("y") - y0 - size, F.lit(0.0))
+        fx, fy = F.greatest(F.abs(F.col("x") - x0), F.abs(F.col("x") - x0 - size)), F.greatest(F.abs(F.col("y") - y0), F.abs(F.col("y") - y0 - size))
+        most = F.min(F.sqrt(fx * fx + fy * fy)).over(Window.partitionBy(point_id))
+        return rows.withColumn("__most", most * (1 + 1e-9) + 1e-9).filter(F.sqrt(dx * dx + dy * dy) <= F.col("__most")).drop("__most")
+
+    names = [point_id, "x", "y", "__cx", "__cy"]
+    open_ = None
+    for k in range(top, 0, -1):
+        begun = start.filter(F.col("level") == k).select(point_id, "x", "y", *_around(F.lit(k))).select(point_id, "x", "y", "__c.*")
+        begun = begun.join(taken[k], ["__cx", "__cy"], "left_semi").select(names)
+        parents = begun if open_ is None else begun.unionByName(open_)
+        children = taken[k - 1].select(F.col("__cx").alias("__x"), F.col("__cy").alias("__y"), up("__cx", 1), up("__cy", 1))
+        opened = parents.join(children, ["__cx", "__cy"]).select(point_id, "x", "y", F.col("__x").alias("__cx"), F.col("__y").alias("__cy"))
+        open_ = written(bounded(opened, radius * GROWTH ** (k - 1)), "open")
+    d = geo.to_edge(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
+    far = open_.join(cells, ["__cx", "__cy"]).withColumn("dist", d).groupBy(point_id).agg(best).select(*picked)
+    return near.union(far)
 
 
 def nearest_within_km(points: DataFrame, sites: DataFrame, radius_km: float, point_id: str, site_id: str) -> DataFrame:

@@ -60,6 +60,34 @@ def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     return placement.greedy_cover(_stations(spark, d), "road", "pk", 600.0).select("road", F.size("chosen").alias("n_chosen"), F.col("chosen")[0].alias("first_pk"), F.element_at("chosen", -1).alias("last_pk"))
 
 
+def _demand_sql(steps: int, reach: int, least: int) -> str:
+    """The greedy choice written out step by step, every candidate against all demand that is still open."""
+    out = [
+        f"""ex AS (SELECT s_suppkey % 100 AS road, (s_suppkey * 104729) % 20000 AS pk FROM supplier),
+d0 AS (SELECT * FROM (SELECT o_custkey % 100 AS road, (o_orderkey * 7919) % 20000 AS pk, sum(CAST(round(o_totalprice * 100) AS BIGINT))::BIGINT AS w FROM orders GROUP BY 1, 2) d
+  WHERE w > 0 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.road = d.road AND ex.pk BETWEEN d.pk - {reach} AND d.pk + {reach})),
+c AS (SELECT DISTINCT c_custkey % 100 AS road, (c_custkey * 15485863) % 20000 AS pk FROM customer)"""
+    ]
+    for k in range(1, steps + 1):
+        out.append(
+            f"""p{k} AS (SELECT road, pk, gain FROM (SELECT c.road, c.pk, sum(w)::BIGINT AS gain, row_number() OVER (PARTITION BY c.road ORDER BY sum(w) DESC, c.pk) AS rn
+  FROM c JOIN d{k - 1} d ON c.road = d.road AND d.pk BETWEEN c.pk - {reach} AND c.pk + {reach} GROUP BY 1, 2) WHERE rn = 1 AND gain >= {least}),
+d{k} AS (SELECT d.* FROM d{k - 1} d WHERE NOT EXISTS (SELECT 1 FROM p{k} p WHERE p.road = d.road AND d.pk BETWEEN p.pk - {reach} AND p.pk + {reach}))"""
+        )
+    rows = " UNION ALL ".join(f"SELECT road, {k} AS step, pk::DOUBLE AS pk, gain FROM p{k}" for k in range(1, steps + 1))
+    return f"WITH {', '.join(out)} {rows}"
+
+
+@query(_demand_sql(6, 75, 1000000))
+def demand_placement(spark: SparkSession, d: str) -> DataFrame:
+    """Six stations a road at most, at the candidates that cover the most demand beyond the reach of existing stations."""
+    road_of = lambda key: (F.col(key) % 100).alias("road")
+    demand = t(spark, d, "orders").select(road_of("o_custkey"), ((F.col("o_orderkey") * 7919) % 20000).alias("pk"), ag.cents(F.col("o_totalprice")).alias("cents"))
+    sites = t(spark, d, "customer").select(road_of("c_custkey"), ((F.col("c_custkey") * 15485863) % 20000).alias("pk"))
+    existing = t(spark, d, "supplier").select(road_of("s_suppkey"), ((F.col("s_suppkey") * 104729) % 20000).cast("double").alias("pk"))
+    return placement.place_by_demand(demand, sites, "road", "pk", "cents", DEFAULT.max_spacing_km / 2, 6, 1_000_000, existing)
+
+
 @query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS imd, list_value('AP-7','A-7','A-8','AP-9','N-340')[l_suppkey % 5 + 1] AS road, month(l_shipdate) AS month FROM lineitem),
 d AS (SELECT *, CASE WHEN month IN (7, 8) THEN CASE WHEN road IN ('AP-7','A-7') THEN 2.0::DOUBLE WHEN road IN ('A-8','AP-9') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 1.0::DOUBLE END AS mult FROM m),
 e AS (SELECT *, imd * (2498159.0::DOUBLE / 25000000.0::DOUBLE) * mult AS ev FROM d),
