@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def value_counts(df: DataFrame, *keys: str, name: str = "count") -> DataFrame:
     """Counts by key, nulls left out."""
@@ -22,10 +24,10 @@ def cents(c: Column) -> Column:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    """One row: count, mean, std (sample), min, quartiles (linear), max; exact."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    return out.select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    """One row: count, mean, std (sample), min, quartiles (linear), max; exact, the quartiles by selection."""
+    q = quantiles(df, column, [0.25, 0.5, 0.75]).agg(F.first("q").alias("q"))  # one row, also of nothing
+    out = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return out.crossJoin(F.broadcast(q)).select("count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def crosstab_margins(df: DataFrame, row: str, column: str, values: list, total: str = "All") -> DataFrame:

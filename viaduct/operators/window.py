@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def impute_median(df: DataFrame, group: str, column: str, out: str) -> DataFrame:
-    """Nulls take their group's median, then the median of the column so filled."""
-    by_group = df.groupBy(group).agg(F.median(column).alias("__m"))
-    filled = df.join(by_group, df[group].eqNullSafe(by_group[group]), "left").drop(by_group[group])
+    """Nulls take their group's median, then the median of the column so filled; both exact, by selection."""
+    medians = quantiles(df, column, [0.5], [group]).select(F.col(group).alias("__g"), F.col("q")[0].alias("__m"))
+    filled = df.join(medians, df[group].eqNullSafe(F.col("__g")), "left").drop("__g")
     filled = filled.withColumn(out, F.coalesce(F.col(column), F.col("__m"))).drop("__m")
-    whole = filled.agg(F.median(out).alias("__all"))  # one row
+    whole = quantiles(filled, out, [0.5]).agg(F.first(F.col("q")[0]).alias("__all"))  # one row, also of nothing
     return filled.crossJoin(F.broadcast(whole)).withColumn(out, F.coalesce(F.col(out), F.col("__all"))).drop("__all")
 
 
