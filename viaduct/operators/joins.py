@@ -26,7 +26,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: list[str], at: st
     return left.join(right, [*on, "__bin"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
 
 
-def _cell(c: Column, size: float) -> Column:
+def _cell(c: Column, size: float | Column) -> Column:
     return F.floor(c / size).cast("bigint")
 
 
@@ -34,7 +34,7 @@ def _covered(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(_cell(lo, size), _cell(hi, size))
 
 
-def walked_cells(edges: DataFrame, size: float, ring: int = 0) -> DataFrame:
+def walked_cells(edges: DataFrame, size: float | Column, ring: int = 0) -> DataFrame:
     """edges with __cx, __cy: a row for each cell that an edge (x1, y1, x2, y2) passes through, or that lies within `ring` cells of one.
 
     The edge is walked column by column, and in each only the rows between its heights there are taken: a long diagonal
@@ -47,7 +47,7 @@ def walked_cells(edges: DataFrame, size: float, ring: int = 0) -> DataFrame:
     at = lambda x: F.coalesce(F.col("y1") + (x - F.col("x1")) * slope, F.col("y1"))
     # an upright edge is seen whole in each of its columns; the margin is wider than what is lost to rounding
     upright = F.col("x1") == F.col("x2")
-    margin = (F.abs("y1") + F.abs("y2") + F.lit(float(size))) * 1e-12
+    margin = (F.abs("y1") + F.abs("y2") + size) * 1e-12
     low = F.when(upright, F.least("y1", "y2")).otherwise(F.least(at(left), at(right))) - margin
     high = F.when(upright, F.greatest("y1", "y2")).otherwise(F.greatest(at(left), at(right))) + margin
     return e.withColumn("__cy", F.explode(F.sequence(_cell(low, size) - ring, _cell(high, size) + ring)))
