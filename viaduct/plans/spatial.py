@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import domain, geo
 from ..operators import aggregate as ag
-from ..operators import joins, shapes, window
+from ..operators import buffers, joins, repair, shapes, window
 from .registry import query, t
 
 
@@ -214,3 +214,57 @@ def line_centroid(spark: SparkSession, d: str) -> DataFrame:
     path = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.array(((k * 7919 + i * i * 331) % 10000).cast("double"), ((k * 104729 + i * 577) % 10000).cast("double")))
     lines = t(spark, d, "nation").select(F.col("n_nationkey").alias("line_id"), path.alias("p"))
     return shapes.centroids(shapes.edges_of_lines(lines, "line_id", "p"), "line_id").select("line_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+def _crossed_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's closed path of seven places on a grid; most cross themselves, some touch or run back over themselves."""
+    k = F.col("c_custkey").cast("bigint")
+    places = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.array(((k * 7919 + i * i * 331 + i * k) % 97).cast("double"), ((k * 104729 + i * 577 + i * i * k) % 89).cast("double")))
+    return t(spark, d, "customer").select(k.alias("poly_id"), F.array(F.concat(places, F.slice(places, 1, 1))).alias("rings"))
+
+
+@query("""WITH v AS (SELECT c_custkey AS poly_id, i, ((c_custkey * 7919 + i * i * 331 + i * c_custkey) % 97)::DOUBLE AS x, ((c_custkey * 104729 + i * 577 + i * i * c_custkey) % 89)::DOUBLE AS y FROM customer, (SELECT unnest(range(0, 7)) AS i)),
+e AS (SELECT a.poly_id, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.poly_id = b.poly_id AND b.i = (a.i + 1) % 7),
+c AS (SELECT *, (x2 - x1) * (oy2 - oy1) - (y2 - y1) * (ox2 - ox1) AS den, (ox1 - x1) * (oy2 - oy1) - (oy1 - y1) * (ox2 - ox1) AS num
+  FROM (SELECT a.*, b.x1 AS ox1, b.y1 AS oy1, b.x2 AS ox2, b.y2 AS oy2 FROM e a JOIN e b ON a.poly_id = b.poly_id AND a.i < b.i)),
+h AS (SELECT poly_id, y FROM v UNION SELECT poly_id, y1 + num / den * (y2 - y1) FROM c WHERE den <> 0 AND num / den BETWEEN 0 AND 1),
+s AS (SELECT poly_id, y AS lo, lead(y) OVER (PARTITION BY poly_id ORDER BY y) AS hi FROM h),
+x AS (SELECT s.poly_id, lo, hi, x1 + ((lo + hi) / 2 - y1) * (x2 - x1) / (y2 - y1) AS x FROM s JOIN e ON s.poly_id = e.poly_id AND (y1 > (lo + hi) / 2) <> (y2 > (lo + hi) / 2)),
+r AS (SELECT *, row_number() OVER (PARTITION BY poly_id, lo ORDER BY x) AS k FROM x)
+SELECT poly_id, round(sum((hi - lo) * CASE WHEN k % 2 = 0 THEN x ELSE -x END), 3) AS area FROM r GROUP BY 1""")
+def polygon_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Areas of the customers' polygons after repair; those without any inside have none."""
+    edges = shapes.edges_of_polygons(_crossed_rings(spark, d), "poly_id", "rings")
+    return repair.area(repair.make_valid(edges, "poly_id"), "poly_id").select("poly_id", F.round("area", 3).alias("area"))
+
+
+def _buffers_sql(radius: float, sides: int) -> str:
+    """The outline by clipping every side of every buffer with every other one."""
+    r, tiny = repr(radius), "1e-9"
+    return f"""WITH {_XY.split('tt AS')[0].rstrip().rstrip(',').split('FROM customer),', 1)[1]},
+k AS (SELECT k, {r} * cos(2 * pi() * k / {sides}) AS vx, {r} * sin(2 * pi() * k / {sides}) AS vy, {r} * cos(2 * pi() * (k + 1) / {sides}) AS wx, {r} * sin(2 * pi() * (k + 1) / {sides}) AS wy,
+  cos(pi() * (2 * k + 1) / {sides}) AS nx, sin(pi() * (2 * k + 1) / {sides}) AS ny, cos(pi() * (2 * k - 1) / {sides}) AS mx, sin(pi() * (2 * k - 1) / {sides}) AS my FROM (SELECT unnest(range(0, {sides})) AS k)),
+c AS (SELECT edge_id, k.*, x1, y1, x2, y2, nx * (x2 - x1) + ny * (y2 - y1) > 0 AS far, mx * (x2 - x1) + my * (y2 - y1) > 0 AS was FROM ed, k),
+s AS (SELECT edge_id, k AS side, CASE WHEN far THEN x2 ELSE x1 END + vx AS x1, CASE WHEN far THEN y2 ELSE y1 END + vy AS y1, CASE WHEN far THEN x2 ELSE x1 END + wx AS x2, CASE WHEN far THEN y2 ELSE y1 END + wy AS y2 FROM c
+  UNION ALL SELECT edge_id, {sides} + k, CASE WHEN was THEN x2 ELSE x1 END + vx, CASE WHEN was THEN y2 ELSE y1 END + vy, CASE WHEN was THEN x1 ELSE x2 END + vx, CASE WHEN was THEN y1 ELSE y2 END + vy FROM c WHERE was <> far),
+n AS (SELECT edge_id, nx, ny, greatest(nx * x1 + ny * y1, nx * x2 + ny * y2) + {r} * cos(pi() / {sides}) AS reach FROM ed, k
+  UNION ALL SELECT edge_id, px, py, px * x1 + py * y1 + max(px * vx + py * vy) FROM (
+    SELECT *, turn * (y1 - y2) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS px, turn * (x2 - x1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS py
+    FROM ed, (SELECT unnest([-1, 1]) AS turn) WHERE x1 <> x2 OR y1 <> y2), k GROUP BY edge_id, px, py, x1, y1),
+m AS (SELECT s.edge_id, side, n.edge_id AS other, nx * (s.x2 - s.x1) + ny * (s.y2 - s.y1) AS rise, nx * s.x1 + ny * s.y1 - reach - CASE WHEN n.edge_id < s.edge_id THEN {tiny} ELSE -{tiny} END * {r} AS over
+  FROM s JOIN n ON n.edge_id <> s.edge_id),
+i AS (SELECT edge_id, side, max(CASE WHEN abs(rise) <= {tiny} * {r} THEN CASE WHEN over > 0 THEN 2 ELSE 0 END WHEN rise < 0 THEN -over / rise ELSE 0 END) AS t1,
+  min(CASE WHEN rise > {tiny} * {r} THEN -over / rise ELSE 1 END) AS t2 FROM m GROUP BY edge_id, side, other),
+l AS (SELECT edge_id, side, greatest(t1, 0) AS t1, t2 FROM i WHERE t2 > greatest(t1, 0) UNION ALL SELECT edge_id, side, 1, 1 FROM s),
+g AS (SELECT edge_id, side, coalesce(max(t2) OVER (PARTITION BY edge_id, side ORDER BY t1, t2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t1, t1 AS t2 FROM l),
+p AS (SELECT x1 + g.t1 * (x2 - x1) AS ax, y1 + g.t1 * (y2 - y1) AS ay, x1 + g.t2 * (x2 - x1) AS bx, y1 + g.t2 * (y2 - y1) AS by_ FROM s JOIN g USING (edge_id, side) WHERE g.t2 - g.t1 > {tiny})
+SELECT round(sum(ax * by_ - bx * ay) / 2e6, 3) AS area_km2, round(sum(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))) / 1e3, 3) AS outline_km FROM p"""
+
+
+@query(_buffers_sql(20000.0, 64))
+def buffer_union(spark: SparkSession, d: str) -> DataFrame:
+    """Area and outline of all that lies within 20 km of a road."""
+    out = buffers.dissolved(supplier_edges(spark, d), "edge_id", 20000.0)
+    length = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
+    cross = F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")
+    return out.agg(F.round(F.sum(cross) / 2e6, 3).alias("area_km2"), F.round(F.sum(length) / 1e3, 3).alias("outline_km"))
