@@ -171,33 +171,68 @@ class Sarima:
         return mean, mean - half, mean + half
 
 
-def seasonal_strength(y: np.ndarray, m: int) -> float:
-    """1 - Var(rest) / Var(season + rest) after a centred moving average."""
-    if len(y) < 2 * m + 2:
-        return 0.0
-    kernel = np.full(m + 1, 1.0 / m)
-    kernel[[0, -1]] /= 2
-    trend = np.convolve(y, kernel, "valid")
-    rest = y[m // 2 : m // 2 + len(trend)] - trend
-    season = np.array([rest[k::m].mean() for k in range(m)])
-    left = rest - np.resize(season, len(rest))
-    return max(0.0, 1 - left.var() / max(rest.var(), 1e-300))
+def _lagged(x: np.ndarray, lags: int, first: int) -> np.ndarray:
+    """Columns x[t - 1] .. x[t - lags] for t from first on."""
+    return np.column_stack([x[first - k : len(x) - k] for k in range(1, lags + 1)])
+
+
+def _ocsb_statistic(y: np.ndarray, m: int, lags: int, first: int) -> tuple[float, float]:
+    """(t statistic of the seasonal level, AIC) of the regression by Osborn, Chui, Smith and Birchenhall (1988) with `lags` lags.
+
+    The twice differenced series is explained by its own lags and by two levels, the seasonal differences one month ago and the
+    monthly ones a season ago, both filtered by the autoregression of the twice differenced series."""
+    yearly, monthly = y[m:] - y[:-m], np.diff(y)
+    both = np.diff(yearly)
+    t = both[first:]
+    own = _lagged(both, lags, first)
+    fit, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(t)), own]), t, rcond=None)
+
+    def filtered(x: np.ndarray) -> np.ndarray:
+        return x[lags:] - np.column_stack([np.ones(len(x) - lags), _lagged(x, lags, lags)]) @ fit
+
+    at = np.arange(first, len(both))  # month m + 1 + at of y
+    levels = np.column_stack([filtered(yearly)[at - lags], filtered(monthly)[at - lags]])
+    x = np.column_stack([own, levels])
+    beta, *_ = np.linalg.lstsq(x, t, rcond=None)
+    rss = float(((t - x @ beta) ** 2).sum())
+    cov = np.linalg.pinv(x.T @ x) * rss / max(len(t) - x.shape[1], 1)
+    return float(beta[-1] / np.sqrt(max(cov[-1, -1], 1e-300))), len(t) * np.log(max(rss, 1e-300) / len(t)) + 2 * x.shape[1]
+
+
+#: The surface of the test's critical values over the logarithm of the season's length (published values).
+_CRITICAL = (-0.2937411, -0.2850853, 0.7656451, -0.05983644, 1.652202)
+
+
+def needs_seasonal_difference(y: np.ndarray, m: int, most: int = 3) -> bool:
+    """Whether the series has a seasonal unit root: the statistic lies above the critical value, the number of lags chosen by AIC.
+
+    Series too short for the regression, and constant ones, have none."""
+    y = np.asarray(y, float)
+    if len(y) < 2 * m + 2 * most + 6 or np.ptp(y) == 0:
+        return False
+    lags = min(range(1, most + 1), key=lambda k: _ocsb_statistic(y, m, k, most)[1])
+    a, b, c, d, e = _CRITICAL
+    at = np.log(m) - c
+    return _ocsb_statistic(y, m, lags, lags)[0] > a * np.exp(b * at + d * at * at) - e
 
 
 def auto_sarima(y: np.ndarray, m: int = 12, steps: int = 150) -> Sarima:
-    """The stepwise search's best model, fitted in full: p and q to 5, P and Q to 2, until no neighbour has a lower AIC."""
+    """The stepwise search's best model, fitted in full: p and q to 5, P and Q to 2, with and without a constant, until no neighbour has a lower AIC.
+
+    The seasonal difference is taken by a test of its unit root, differences by the augmented Dickey-Fuller test. A
+    constant is not looked for after two differences or more, where it would be a curve."""
     y = np.asarray(y, float)
-    D = int(seasonal_strength(y, m) > 0.64)
+    D = int(needs_seasonal_difference(y, m))
     w, d = difference(y, 0, D, m), 0
     while d < 2 and len(w) >= 12 and adf(w)[1] >= 0.05:
         w, d = np.diff(w), d + 1
-    drift = d + D <= 1
+    may_drift = d + D <= 1
     seen: dict = {}
     asked: set = set()
 
-    def tried(p, q, P, Q):
-        key = (p, q, P, Q)
-        if min(key) < 0 or p > 5 or q > 5 or P > 2 or Q > 2 or key in asked:
+    def tried(p, q, P, Q, drift):
+        key = (p, q, P, Q, drift)
+        if min(key[:4]) < 0 or p > 5 or q > 5 or P > 2 or Q > 2 or (drift and not may_drift) or key in asked:
             return
         asked.add(key)
         try:
@@ -206,14 +241,17 @@ def auto_sarima(y: np.ndarray, m: int = 12, steps: int = 150) -> Sarima:
             pass
 
     for start in ((2, 2, 1, 1), (0, 0, 0, 0), (1, 0, 1, 0), (0, 1, 0, 1)):
-        tried(*start)
+        tried(*start, may_drift)
+    tried(0, 0, 0, 0, False)
     if not seen:
-        return Sarima((0, d, 0), (0, 0, 0), m, drift).fit(y)
+        return Sarima((0, d, 0), (0, 0, 0), m, may_drift).fit(y)
+    steps_to = ((1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 1, 0, 0), (0, 0, 1, 1))
     while True:
         best = min(seen, key=lambda k: seen[k].aic)
-        p, q, P, Q = best
-        for step in ((1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (1, 1, 0, 0)):
+        p, q, P, Q, drift = best
+        for step in steps_to:
             for sign in (-1, 1):
-                tried(*(a + sign * b for a, b in zip(best, step, strict=True)))
+                tried(*(a + sign * b for a, b in zip(best[:4], step, strict=True)), drift)
+        tried(p, q, P, Q, not drift)
         if min(seen, key=lambda k: seen[k].aic) == best:
             return Sarima((p, d, q), (P, D, Q), m, drift).fit(y)

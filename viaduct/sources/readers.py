@@ -220,13 +220,13 @@ def population(spark: SparkSession, path: str) -> DataFrame:
 
 
 def series_json(spark: SparkSession, path: str, by_month: bool = False) -> DataFrame:
-    """Flattened statistics of a grid operator's API: (technology, capacity_mw, percentage), or (month, demand_mwh)."""
+    """Flattened statistics of a grid operator's API: (technology, capacity_mw, percentage), or (month, demand_mwh), rounded half up as published."""
     value = "struct<value: double, percentage: double, datetime: string>"
     schema = f"included array<struct<type: string, attributes: struct<values: array<{value}>>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("included").alias("i")).select(F.col("i.type").alias("type"), F.explode("i.attributes.values").alias("v"))
     if by_month:
-        return rows.select(F.substring("v.datetime", 1, 7).alias("month"), F.bround("v.value", 2).alias("demand_mwh"))
-    return rows.select(F.col("type").alias("technology"), F.bround("v.value", 2).alias("capacity_mw"), F.bround("v.percentage", 2).alias("percentage"))
+        return rows.select(F.substring("v.datetime", 1, 7).alias("month"), F.round("v.value", 2).alias("demand_mwh"))
+    return rows.select(F.col("type").alias("technology"), F.round("v.value", 2).alias("capacity_mw"), F.round("v.percentage", 2).alias("percentage"))
 
 
 def month_requests(spark: SparkSession, first: str, last: str, url: str) -> DataFrame:
