@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..forecast import apply as fc
 from ..functions import dates
+from ..operators.store import shared_dir
 from ..streaming import append as st
 from .registry import query, t
 
@@ -62,8 +63,31 @@ def stream_append(spark: SparkSession, d: str) -> DataFrame:
     """The events as a file stream, a seventh without a value, appended until nothing is left.
 
     The path is a pattern, as a stream takes a single file by a pattern only."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = st.feed(spark, f"{d}/event[s].parquet", t(spark, d, "events").schema)
     rows = source.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
     st.append(rows, "value", f"{base}/out", f"{base}/log").awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-20 00:00:00' OR event_id % 11 = 0 THEN 2 ELSE 1 END AS run, time_bucket(INTERVAL '6 hours', ts) AS opens FROM events),
+w AS (SELECT date_trunc('milliseconds', max(ts) FILTER (WHERE run = 1)) - INTERVAL 12 HOUR AS first, date_trunc('milliseconds', max(ts)) - INTERVAL 12 HOUR AS last FROM e)
+SELECT event_type, strftime(opens, '%Y-%m-%d %H:%M:%S') AS window_start, round(avg(value), 6) AS mean_value, count(*) AS n FROM e, w
+WHERE (run = 1 OR opens + INTERVAL 6 HOUR > first) AND opens + INTERVAL 6 HOUR <= last GROUP BY 1, 2""")
+def occupancy_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Means by event-time windows of a feed that is stopped and restarted from its checkpoint; what comes too late is left out.
+
+    The first run sees the events before a day but for every eleventh; the second one sees those and all later ones, and takes
+    late rows only for windows that the watermark, as the first run left it, has not closed."""
+    base = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    # the clock of the table as an instant, whatever the session's time zone is
+    ts = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts")))
+    events = t(spark, d, "events").select("event_id", ts.alias("ts"), "event_type", "value", (F.col("ts") >= F.to_timestamp_ntz(F.lit("2024-01-20 00:00:00"))).alias("second"))
+    later = F.col("second") | (F.col("event_id") % 11 == 0)
+    for run in (~later, later):
+        events.filter(run).drop("second").write.mode("append").parquet(f"{base}/in")
+        windows = st.occupancy(st.feed(spark, f"{base}/in", events.drop("second").schema), "ts", "event_type", "value", "6 hours", "12 hours")
+        out = windows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/log").trigger(availableNow=True)
+        out.start(f"{base}/out").awaitTermination()
+    rows = spark.read.parquet(f"{base}/out")
+    return rows.select("event_type", F.date_format(F.to_utc_timestamp("window.start", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("window_start"), F.round("mean_value", 6).alias("mean_value"), "n")

@@ -231,11 +231,11 @@ h AS (SELECT poly_id, y FROM v UNION SELECT poly_id, y1 + num / den * (y2 - y1)
 s AS (SELECT poly_id, y AS lo, lead(y) OVER (PARTITION BY poly_id ORDER BY y) AS hi FROM h),
 x AS (SELECT s.poly_id, lo, hi, x1 + ((lo + hi) / 2 - y1) * (x2 - x1) / (y2 - y1) AS x FROM s JOIN e ON s.poly_id = e.poly_id AND (y1 > (lo + hi) / 2) <> (y2 > (lo + hi) / 2)),
 r AS (SELECT *, row_number() OVER (PARTITION BY poly_id, lo ORDER BY x) AS k FROM x)
-SELECT poly_id, round(sum((hi - lo) * CASE WHEN k % 2 = 0 THEN x ELSE -x END), 3) AS area FROM r GROUP BY 1""")
+SELECT * FROM (SELECT poly_id, round(sum((hi - lo) * CASE WHEN k % 2 = 0 THEN x ELSE -x END), 3) AS area FROM r GROUP BY 1) WHERE area > 0""")
 def polygon_repair(spark: SparkSession, d: str) -> DataFrame:
     """Areas of the customers' polygons after repair; those without any inside have none."""
     edges = shapes.edges_of_polygons(_crossed_rings(spark, d), "poly_id", "rings")
-    return repair.area(repair.make_valid(edges, "poly_id"), "poly_id").select("poly_id", F.round("area", 3).alias("area"))
+    return repair.area(repair.make_valid(edges, "poly_id"), "poly_id").select("poly_id", F.round("area", 3).alias("area")).filter("area > 0")
 
 
 def _buffers_sql(radius: float, sides: int) -> str:

@@ -11,20 +11,20 @@ from pyspark.sql.types import StructType
 
 from ..functions import geo, text
 from ..schemas import POPULATION, PROVINCES, TOURISM
+from . import geojson as split
 
 
 def geojson(spark: SparkSession, path: str, geometry: str, properties: str | None = None) -> DataFrame:
     """A row for each feature: its properties as columns, then geometry_type and geometry (the coordinates).
 
     geometry: type of the coordinates, as array<double> for points or array<array<double>> for lines. properties: their
-    fields; None infers them. Coordinates are longitude and latitude, the default of the format."""
+    fields; then a large file is read by many tasks. None infers them, by a task for each file. Coordinates are longitude and
+    latitude, the default of the format."""
     if properties is None:
         whole = spark.read.option("multiLine", True).json(path)
         features = whole.select(F.explode("features").alias("f"))
         return features.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("geometry"))
-    schema = f"features array<struct<geometry struct<type string, coordinates {geometry}>, properties struct<{properties}>>>"
-    features = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    return features.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("geometry"))
+    return split.features(spark, path, geometry, properties)
 
 
 def roads(spark: SparkSession, path: str) -> DataFrame:
@@ -47,12 +47,11 @@ def trunk_corridors(spark: SparkSession, path: str) -> DataFrame:
 
 def polygons(spark: SparkSession, path: str, code: str) -> DataFrame:
     """(code, rings): of polygons and multi-polygons alike."""
-    schema = f"features array<struct<geometry struct<type string, coordinates string>, properties struct<{code} string>>>"
-    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
+    f = split.features(spark, path, "string", f"`{code}` string")
     rings, multi = "array<array<array<double>>>", "array<array<array<array<double>>>>"
-    coords = F.col("f.geometry.coordinates")
-    both = F.when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json(coords, multi))).otherwise(F.from_json(coords, rings))
-    return f.select(F.col(f"f.properties.{code}").alias(code), both.alias("rings"))
+    coords = F.col("geometry")
+    both = F.when(F.col("geometry_type") == "MultiPolygon", F.flatten(F.from_json(coords, multi))).otherwise(F.from_json(coords, rings))
+    return f.select(code, both.alias("rings"))
 
 
 def charging_sites(spark: SparkSession, path: str) -> DataFrame:

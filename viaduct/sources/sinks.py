@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.domain import status_color
+from . import geojson
 
 
 def csv(df: DataFrame, path: str, encoding: str = "UTF-8", single: bool = False) -> None:
@@ -15,10 +16,10 @@ def csv(df: DataFrame, path: str, encoding: str = "UTF-8", single: bool = False)
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
 
 
-def features(df: DataFrame, kind: str, geometry: str) -> DataFrame:
-    """(value): a GeoJSON feature as a line of text for each row; all other columns are its properties."""
+def features(df: DataFrame, kind: str, geometry: str, keep: list[str] | None = None) -> DataFrame:
+    """(value, kept columns): a GeoJSON feature as a line of text for each row; all other columns than the geometry are its properties."""
     props = F.struct(*(F.col(c) for c in df.columns if c != geometry))
-    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), F.col(geometry).alias("coordinates")).alias("geometry"), props.alias("properties")), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), F.col(geometry).alias("coordinates")).alias("geometry"), props.alias("properties")), {"ignoreNullFields": "false"}).alias("value"), *(keep or []))
 
 
 def geojson_lines(df: DataFrame, path: str, kind: str, geometry: str) -> None:
@@ -26,12 +27,10 @@ def geojson_lines(df: DataFrame, path: str, kind: str, geometry: str) -> None:
     features(df, kind, geometry).write.mode("overwrite").text(path)
 
 
-def geojson_collection(df: DataFrame, kind: str, geometry: str, most: int = 100_000) -> str:
-    """One FeatureCollection, for results of a checked size."""
-    rows = features(df, kind, geometry).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} features: write geojson_lines")
-    return json.dumps({"type": "FeatureCollection", "features": [json.loads(r[0]) for r in rows]}, ensure_ascii=False)
+def geojson_collection(df: DataFrame, path: str, kind: str, geometry: str, *order: str) -> None:
+    """One FeatureCollection in the order of some properties, written in parallel: the parts, by name, are the document."""
+    rows = features(df, kind, geometry, list(order))
+    geojson.write_collection(rows, path, *order)
 
 
 def json_records(df: DataFrame, path: str, by: str | None = None) -> None:
