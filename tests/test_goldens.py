@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from viaduct.forecast import apply as fc
 from viaduct.forecast.sarima import auto_sarima, needs_seasonal_difference
 from viaduct.functions import dates
+from viaduct.functions.rounding import hundredths
 from viaduct.sources import readers
 
 # Registrations of electric cars by month, nine years from 2015 on, a year in a row.
@@ -99,3 +100,15 @@ def test_seasonal_multipliers(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(OCCUPANCY)], "month int, x double")
     got = df.select("month", F.bround(F.col("x") / YEAR, 4).alias("m")).collect()
     assert [r["m"] for r in sorted(got)] == MULTIPLIER
+
+
+def test_rounding_by_the_exact_value(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [0.125, 0.375, 2.675, 1.005, 12.345, 26250.145, -0.125, -2.675, 0.0, 1e15 + 0.3, 5e15, 0.004999, 0.005, 0.001, 1e-300, 4503599627370496.5]
+    values += [rng.randrange(10**7) / 1000 for _ in range(400)] + [rng.uniform(-1e6, 1e6) for _ in range(200)] + [2.0**k for k in range(-12, 54)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = {r["v"]: r["r"] for r in df.select("v", hundredths(F.col("v")).alias("r")).collect()}
+    assert got.pop(None) is None
+    assert got == {v: round(v, 2) for v in values}

@@ -164,3 +164,75 @@ def registration_months(spark: SparkSession, d: str) -> DataFrame:
     broken.coalesce(1).write.partitionBy("name").text(f"{path}-broken")
     _named(spark, f"{path}-broken", path)
     return readers.ev_monthly(spark, path).withColumn("date", F.col("date").cast("string"))
+
+
+@query("""SELECT p_partkey, 'A-' || p_partkey % 50 AS Carretera, 'Autovía' AS Tipo_de_via, p_partkey % 700 * 1.5::DOUBLE AS Longitud, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 300 / 4.0::DOUBLE END AS PK_inicio,
+p_partkey % 300 + 5.0::DOUBLE AS PK_fin, CASE WHEN p_partkey % 4 = 0 THEN 'T' WHEN p_partkey % 4 = 1 THEN '' END AS TENT, 2 + p_partkey % 3 AS n_points, -3.0::DOUBLE - p_partkey % 100 / 8.0::DOUBLE AS first_lon, coalesce(p_partkey % 4 = 0, false) AS is_tent FROM part""")
+def road_files(spark: SparkSession, d: str) -> DataFrame:
+    """Roads as one collection of lines, written in parts and read again; kilometres as text, some of it no number."""
+    k, path = F.col("p_partkey"), _place(spark, "roads")
+    line = F.transform(F.sequence(F.lit(0), 1 + (k % 3).cast("int")), lambda i: F.array(-3.0 - k % 100 / 8, 40.0 + i / 8))
+    pk = F.when(k % 9 != 0, (k % 300 / 4).cast("string")).otherwise("sin dato")
+    props = t(spark, d, "part").select(
+        k, F.concat(F.lit("A-"), k % 50).alias("Carretera"), F.lit("Autovía").alias("Tipo_de_via"), (k % 700 * 1.5).alias("Longitud"), pk.alias("PK_inicio"), (k % 300 + 5).cast("string").alias("PK_fin"),
+        F.when(k % 4 == 0, "T").when(k % 4 == 1, "").alias("TENT"), line.alias("geometry"),
+    )
+    sinks.geojson_collection(props, path, "LineString", "geometry", "p_partkey")
+    read = readers.roads(spark, path, "p_partkey bigint", parts=True)
+    return read.select("p_partkey", "Carretera", "Tipo_de_via", "Longitud", "PK_inicio", "PK_fin", "TENT", F.size("geometry").cast("bigint").alias("n_points"), F.col("geometry")[0][0].alias("first_lon"), F.coalesce(F.col("TENT") != "", F.lit(False)).alias("is_tent"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS cod_prov, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 1 END AS n_rings, CASE WHEN c_custkey % 3 = 0 THEN 12 ELSE 4 END AS n_points, c_custkey * 1.0::DOUBLE AS first_x FROM customer""")
+def polygon_files(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons and multi-polygons in one collection each, by byte ranges; both come back as lists of rings."""
+    k, base = F.col("c_custkey"), _place(spark, "polygons")
+    ring = F.array(*(F.array(k + a, F.lit(b)) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0))))
+    code = k.cast("string").alias("cod_prov")
+    own = t(spark, d, "customer")
+    sinks.geojson_collection(own.filter(k % 3 != 0).select(code, F.array(ring).alias("geometry")), f"{base}/one", "Polygon", "geometry", "cod_prov")
+    sinks.geojson_collection(own.filter(k % 3 == 0).select(code, F.array(F.array(ring), F.array(ring, ring)).alias("geometry")), f"{base}/many", "MultiPolygon", "geometry", "cod_prov")
+    both = readers.polygons(spark, f"{base}/one", "cod_prov", parts=True).union(readers.polygons(spark, f"{base}/many", "cod_prov", parts=True))
+    points = F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r))
+    return both.select("cod_prov", F.size("rings").alias("n_rings"), points.alias("n_points"), F.col("rings")[0][0][0].alias("first_x"))
+
+
+@query("""SELECT s_suppkey AS id, 'A-' || s_suppkey % 50 AS Carretera, s_suppkey % 300 / 4.0::DOUBLE AS PK, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 10.0::DOUBLE END AS IMD_total, -3.0::DOUBLE - s_suppkey % 100 / 8.0::DOUBLE AS lon FROM supplier""")
+def station_files(spark: SparkSession, d: str) -> DataFrame:
+    """Traffic stations as one collection of points; counts as text, missing ones empty."""
+    k, path = F.col("s_suppkey"), _place(spark, "stations")
+    count = F.when(k % 5 != 0, (k * 10).cast("string")).otherwise("")
+    rows = t(spark, d, "supplier").select(k.alias("id"), F.concat(F.lit("A-"), k % 50).alias("Carretera"), (k % 300 / 4).cast("string").alias("PK"), count.alias("IMD_total"), F.array(-3.0 - k % 100 / 8, F.lit(40.0)).alias("geometry"))
+    sinks.geojson_collection(rows, path, "Point", "geometry", "id")
+    read = readers.traffic_stations(spark, path, "id bigint", parts=True)
+    return read.select("id", "Carretera", "PK", "IMD_total", F.col("geometry")[0].alias("lon"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, o_totalprice, CASE WHEN o_orderkey % 6 <> 0 THEN 'a "b", ' || o_orderkey END AS label FROM orders WHERE o_orderkey % 6 <> 1 AND year(o_orderdate) >= 1995""")
+def dated_csv(spark: SparkSession, d: str) -> DataFrame:
+    """CSV with dates and quoted text, written and read under a schema with a date; rows with an empty label are left out, missing labels stay."""
+    path, k = _place(spark, "dated"), F.col("o_orderkey")
+    label = F.when(k % 6 == 1, "").when(k % 6 != 0, F.concat(F.lit('a "b", '), k))
+    o = t(spark, d, "orders").select(k, F.col("o_orderdate").cast("date").alias("date"), "o_totalprice", label.alias("label"))
+    o.write.option("header", True).option("nullValue", "-").csv(path)
+    read = readers.plain_csv(spark, path, "o_orderkey bigint, date date, o_totalprice double, label string", nullValue="-")
+    kept = read.filter((F.col("date") >= F.to_date(F.lit("1995-01-01"))) & ~F.coalesce(F.col("label") == "", F.lit(False)))
+    return kept.withColumn("date", F.col("date").cast("string"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS ideess, s_name AS rotulo, s_suppkey % 100 / 8.0::DOUBLE AS latitude, CASE WHEN s_suppkey % 3 <> 0 THEN -(s_suppkey % 80) / 4.0::DOUBLE END AS longitude FROM supplier""")
+def gas_station_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Fuel stations as CSV, all text but for the coordinates, one of which is sometimes no number."""
+    path, k = _place(spark, "fuel"), F.col("s_suppkey")
+    east = F.when(k % 3 != 0, (-(k % 80) / 4).cast("string")).otherwise("?")
+    sinks.csv(t(spark, d, "supplier").select(k.alias("ideess"), F.col("s_name").alias("rotulo"), (k % 100 / 8).alias("latitude"), east.alias("longitude")), path)
+    return readers.gas_stations(spark, path)
+
+
+@query("""SELECT 'shelf=' || c_custkey % 20 AS folder, round_even((sum(length(c_name)) + count(*)) / 1024.0::DOUBLE, 1) AS size_kb FROM customer GROUP BY 1""")
+def file_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' names on twenty shelves, one file each, and what the files weigh."""
+    path = _place(spark, "shelves")
+    rows = t(spark, d, "customer").select((F.col("c_custkey") % 20).alias("shelf"), F.col("c_name").alias("value"))
+    rows.repartition("shelf").write.partitionBy("shelf").text(path)
+    found = readers.inventory(spark, path).filter(F.col("path").contains("shelf="))
+    return found.select(F.regexp_extract("path", "(shelf=[0-9]+)/", 1).alias("folder"), "size_kb")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..forecast import apply as fc
 from ..functions import dates
 from ..operators.store import shared_dir
+from ..pipelines import fleet
 from ..streaming import append as st
 from .registry import query, t
 
@@ -58,6 +59,13 @@ def auto_sarima(spark: SparkSession, d: str) -> DataFrame:
     return fc.forecast(_monthly(spark, d), "series", "date", "ev_registrations", 48)
 
 
+@query("""WITH m AS (SELECT date_trunc('month', o_orderdate) AS date, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT sum(exp(ln(n) * 1.01::DOUBLE)) AS mean FROM m)
+SELECT CAST(round_even(mean, 0) AS BIGINT) AS vehicles, CAST(round_even(mean, 0) AS BIGINT) * 16 AS co2_saving_t FROM f""")
+def forecast_co2(spark: SparkSession, d: str) -> DataFrame:
+    """Vehicles as the rounded sum of what monthly logarithms, one hundredth higher, amount to, and the carbon dioxide that they save."""
+    return fleet.co2(_monthly(spark, d).select(F.exp(F.log("ev_registrations") * 1.01).alias("mean")))
+
+
 @query("SELECT event_id, value FROM events WHERE event_id % 7 <> 0")
 def stream_append(spark: SparkSession, d: str) -> DataFrame:
     """The events as a file stream, a seventh without a value, appended until nothing is left.

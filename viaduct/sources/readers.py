@@ -10,30 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geo, text
+from ..functions.rounding import hundredths
 from ..schemas import POPULATION, PROVINCES, TOURISM
 from . import geojson as split
 
 
-def geojson(spark: SparkSession, path: str, geometry: str, properties: str | None = None) -> DataFrame:
+def geojson(spark: SparkSession, path: str, geometry: str, properties: str | None = None, parts: bool = False) -> DataFrame:
     """A row for each feature: its properties as columns, then geometry_type and geometry (the coordinates).
 
     geometry: type of the coordinates, as array<double> for points or array<array<double>> for lines. properties: their
     fields; then a large file is read by many tasks. None infers them, by a task for each file. Coordinates are longitude and
-    latitude, the default of the format."""
+    latitude, the default of the format. parts: the files of a folder are one collection together."""
     if properties is None:
         whole = spark.read.option("multiLine", True).json(path)
         features = whole.select(F.explode("features").alias("f"))
         return features.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("geometry"))
-    return split.features(spark, path, geometry, properties)
+    return split.features(spark, path, geometry, properties, parts)
 
 
-def roads(spark: SparkSession, path: str) -> DataFrame:
-    df = geojson(spark, path, "array<array<double>>", "Carretera string, Tipo_de_via string, Longitud double, PK_inicio string, PK_fin string, TENT string")
+def _with(fields: str, more: str | None) -> str:
+    return f"{more}, {fields}" if more else fields
+
+
+def roads(spark: SparkSession, path: str, more: str | None = None, parts: bool = False) -> DataFrame:
+    """more: further properties and their types."""
+    df = geojson(spark, path, "array<array<double>>", _with("Carretera string, Tipo_de_via string, Longitud double, PK_inicio string, PK_fin string, TENT string", more), parts)
     return df.withColumns({"PK_inicio": text.number(F.col("PK_inicio")), "PK_fin": text.number(F.col("PK_fin"))})
 
 
-def traffic_stations(spark: SparkSession, path: str) -> DataFrame:
-    df = geojson(spark, path, "array<double>", "Carretera string, PK string, IMD_total string, IMD_ligeros string, IMD_pesados string")
+def traffic_stations(spark: SparkSession, path: str, more: str | None = None, parts: bool = False) -> DataFrame:
+    df = geojson(spark, path, "array<double>", _with("Carretera string, PK string, IMD_total string, IMD_ligeros string, IMD_pesados string", more), parts)
     return df.withColumns({c: text.number(F.col(c)) for c in ("PK", "IMD_total", "IMD_ligeros", "IMD_pesados")})
 
 
@@ -45,9 +51,9 @@ def trunk_corridors(spark: SparkSession, path: str) -> DataFrame:
     return geojson(spark, path, "array<array<double>>", "Carretera string")
 
 
-def polygons(spark: SparkSession, path: str, code: str) -> DataFrame:
+def polygons(spark: SparkSession, path: str, code: str, parts: bool = False) -> DataFrame:
     """(code, rings): of polygons and multi-polygons alike."""
-    f = split.features(spark, path, "string", f"`{code}` string")
+    f = split.features(spark, path, "string", f"`{code}` string", parts)
     rings, multi = "array<array<array<double>>>", "array<array<array<array<double>>>>"
     coords = F.col("geometry")
     both = F.when(F.col("geometry_type") == "MultiPolygon", F.flatten(F.from_json(coords, multi))).otherwise(F.from_json(coords, rings))
@@ -215,17 +221,29 @@ def tourism_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def population(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POPULATION).option("header", True).csv(path)
+    return plain_csv(spark, path, POPULATION)
+
+
+def plain_csv(spark: SparkSession, path: str, schema: str | None = None, **options: str) -> DataFrame:
+    """Comma-separated with a header. schema: types of the columns in their order, dates among them (ISO); None reads all as text under their names."""
+    reader = spark.read.option("header", True).options(**options)
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def gas_stations(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text under the file's own names; latitude and longitude, where there are such columns, as numbers."""
+    df = plain_csv(spark, path)
+    return df.withColumns({c: text.number(F.col(f"`{c}`")) for c in df.columns if c.strip().lower() in ("latitude", "longitude", "latitud", "longitud")})
 
 
 def series_json(spark: SparkSession, path: str, by_month: bool = False) -> DataFrame:
-    """Flattened statistics of a grid operator's API: (technology, capacity_mw, percentage), or (month, demand_mwh), rounded half up as published."""
+    """Flattened statistics of a grid operator's API: (technology, capacity_mw, percentage), or (month, demand_mwh), rounded to hundredths by their exact values."""
     value = "struct<value: double, percentage: double, datetime: string>"
     schema = f"included array<struct<type: string, attributes: struct<values: array<{value}>>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("included").alias("i")).select(F.col("i.type").alias("type"), F.explode("i.attributes.values").alias("v"))
     if by_month:
-        return rows.select(F.substring("v.datetime", 1, 7).alias("month"), F.round("v.value", 2).alias("demand_mwh"))
-    return rows.select(F.col("type").alias("technology"), F.round("v.value", 2).alias("capacity_mw"), F.round("v.percentage", 2).alias("percentage"))
+        return rows.select(F.substring("v.datetime", 1, 7).alias("month"), hundredths(F.col("v.value")).alias("demand_mwh"))
+    return rows.select(F.col("type").alias("technology"), hundredths(F.col("v.value")).alias("capacity_mw"), hundredths(F.col("v.percentage")).alias("percentage"))
 
 
 def month_requests(spark: SparkSession, first: str, last: str, url: str) -> DataFrame:
