@@ -159,3 +159,32 @@ def test_toxicity_learns_an_exclusive_or():
         rows.append((" ".join(words), int(has in (1, 2))))
     s = toxicity.Scorer(toxicity.fit(rows))
     assert min(s.score("w1 w2 left"), s.score("w1 w2 right")) > 0.5 > max(s.score("w1 w2"), s.score("w1 w2 left right"))
+
+
+def test_leaks_in_long_texts_odd_columns(spark, monkeypatch):
+    """Texts that are cut into many stretches, passages across the cuts, one made of passages only; further columns with names that the plan uses."""
+    monkeypatch.setattr(decontam, "STRETCH", 64)
+    rng = random.Random(5)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(rng.choice([12, 40, 90])))) for k in range(6)]
+    docs = []
+    for i in range(8):
+        words = [f"d{rng.randrange(10**6)}" for _ in range(rng.randint(50, 700))]
+        for k in rng.sample(range(6), 2):
+            at = rng.randrange(len(words))
+            words[at:at] = edited(rng, items[k][1].split(), rng.choice([0, 1]))
+        docs.append((i, " ".join(words)))
+    docs += [(100, " ".join(items[1][1] for _ in range(60))), (101, None), (102, ""), (None, items[2][1])]
+    want = brute_leaks(docs, items)
+    rows = [(i, t, "k", 1, 2, ["w"], 0.5, 3, "x") for i, t in docs]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, key string, n int, start int, words array<string>, similarity double, stretch int, item string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.leaks(odd, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    assert {(100, 1), (None, 2)} <= set(got)
+
+
+def test_leaks_in_a_text_of_passages_only(spark):
+    """40,000 words, every window of which can reach the threshold: no row holds them all."""
+    item = " ".join(f"w{j}" for j in range(40))
+    docs = spark.createDataFrame([(1, " ".join([item] * 1000)), (2, "nothing to see here")], "doc_id long, text string")
+    got = decontam.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"], r["start_word"]) for r in got] == [(1, 7, 1.0, 0)]

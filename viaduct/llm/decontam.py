@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import materialised
 
 WIDTH = 5
+#: Words of a text in which the windows of one stretch of it begin.
+STRETCH = 4096
 #: Rows of a side at most for which it is broadcast; beyond, joins are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -53,9 +55,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def simhash_bits(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fp long, m long) from (keys, h): a bit is 1 if it is set in over half the occurrences."""
-    sums = [F.sum(F.shiftright("h", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
+    # bits i and i + 32 are counted in one sum, in halves that don't meet below 2^31 occurrences
+    both = (1 << 32) | 1
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(both)).alias(f"b{i}") for i in range(32)]
     voted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *sums)
-    bits = (F.when(F.col(f"b{i}") * 2 > F.col("m"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(64))
+    votes = lambda i: F.shiftrightunsigned(f"b{i % 32}", 32 * (i // 32)).bitwiseAND((1 << 32) - 1)
+    bits = (F.when(votes(i) * 2 > F.col("m"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(64))
     return voted.select(*keys, "m", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
 
@@ -95,6 +100,16 @@ def placed_windows(hits: DataFrame, keys: list[str], threshold: float) -> DataFr
     return runs.filter((F.col("marks") >= common) & F.col("next").isNotNull()).select(*keys, F.explode(F.sequence("start", F.col("next") - 1)).alias("start"))
 
 
+def stretches_of(texts: DataFrame, windows: DataFrame, longest: int) -> DataFrame:
+    """(key, stretch, words): the texts (key, t) that have a window, cut into overlapping stretches, each of which holds whole all windows that begin in its first STRETCH words.
+
+    So no row holds more than a text, and none behind the join more than a stretch, however many windows a text has. Repeated rows count once."""
+    first = windows.groupBy("key").agg(F.collect_set(F.floor(F.col("start") / STRETCH)).alias("own"))
+    held = texts.join(small(first, windows.count()), "key").dropDuplicates(["key"]).select("key", "own", words_of(F.col("t")).alias("words"))
+    cut = F.transform("own", lambda k: F.struct(k.alias("stretch"), F.slice(F.col("words"), (k * STRETCH + 1).cast("int"), STRETCH + longest).alias("words")))
+    return held.select("key", F.explode(cut).alias("s")).select("key", "s.*")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.8, radius: int = 20) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, differing_bits): each document with each item that it holds, at the best window."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words_of(F.col(item_text)).alias("words"))
@@ -118,15 +133,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     if hits is None:
         return docs.sparkSession.range(0).select(F.lit(None).cast(docs.schema[id_col].dataType).alias("doc_id"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0).alias("differing_bits"))
     windows_at = materialised(placed_windows(hits.distinct(), ["doc_id", "key", "width", "n", "size"], threshold), "windows")
-    placed = windows_at.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("width", "n", "start")).alias("windows"))
-    n_windows = windows_at.count()
-    # only documents with a window are read on; their windows' words leave the row, not the text
-    held = docs.select(key.alias("key"), F.col(text_col).alias("t")).join(small(placed, n_windows), "key").dropDuplicates(["key"])  # repeated rows count once
-    cut = held.select("doc_id", "key", words_of(F.col("t")).alias("words"), "windows")
-    cut = cut.select("doc_id", "key", F.explode(F.transform("windows", lambda w: F.struct(w["width"].alias("width"), w["n"].alias("n"), w["start"].alias("start"), F.slice(F.col("words"), w["start"] + 1, w["n"]).alias("words")))).alias("w")).select("doc_id", "key", "w.*")
-    per_width = [cut.filter(F.col("width") == k).select("doc_id", "key", "width", "n", "start", F.explode(shingles_of(F.col("words"), k)).alias("h")) for k in widths]
-    shingled = materialised(reduce(DataFrame.union, per_width), "shingles")
+    longest = occurrences.agg(F.max("n")).first()[0]
+    stretches = stretches_of(docs.select(key.alias("key"), F.col(text_col).alias("t")), windows_at, int(longest))
     at = ["doc_id", "key", "width", "n", "start"]
+    placed = windows_at.withColumn("stretch", F.floor(F.col("start") / STRETCH))
+    cut = placed.join(stretches, ["key", "stretch"]).select(*at, F.slice("words", (F.col("start") - F.col("stretch") * STRETCH + 1).cast("int"), F.col("n")).alias("words"))
+    per_width = [cut.filter(F.col("width") == k).select(*at, F.explode(shingles_of(F.col("words"), k)).alias("h")) for k in widths]
+    shingled = materialised(reduce(DataFrame.union, per_width), "shingles")
     windows = simhash_bits(shingled, at)
     items_fp = simhash_bits(occurrences, ["item", "width", "n"]).select("item", "width", "n", F.col("fp").alias("other_fp"), F.col("m").alias("item_m"))
     near = hamming_pairs(windows, small(items_fp, n_rows), radius, ["width", "n"])
