@@ -188,3 +188,24 @@ def test_leaks_in_a_text_of_passages_only(spark):
     docs = spark.createDataFrame([(1, " ".join([item] * 1000)), (2, "nothing to see here")], "doc_id long, text string")
     got = decontam.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["similarity"], r["start_word"]) for r in got] == [(1, 7, 1.0, 0)]
+
+
+def test_lower_thresholds_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError, match="0.8"):
+        near_dup.simhash_groups(spark.createDataFrame([(1, "a")], "row long, text string"), threshold=0.7)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Null ids and texts, repeated rows, an empty table, further columns: every stage but the last returns the columns of its input."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, component long"
+    sf = "/root/testdata/sf0.001"
+    rows = [(1, "some plain words of a text " * 3, "en", "s", 1, 1, 1), (1, "some plain words of a text " * 3, "en", "s", 1, 1, 1), (None, None, None, None, None, None, None), (2, "", None, None, 0, None, 2), (None, "another text", "en", None, 5, 4, None)]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            assert out.count() <= len(given)
+        assert pipeline.tokens(spark, docs, sf).count() == len(given)

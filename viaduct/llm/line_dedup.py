@@ -149,11 +149,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     exploded.write.partitionBy("batch").parquet(f"{at}/keys")
     keys = spark.read.schema("doc_id bigint, key binary, batch int").parquet(f"{at}/keys")
     runs = LineRuns(spark, at, fanout)
-    for b in range(batches):
-        runs.add(keys.filter(F.col("batch") == b).select("key", "doc_id"))
-    # written first, so that adaptive execution can split the next join's hot keys, or broadcast if the table is small
-    common = materialised(runs.totals().filter(F.col("n") >= min_docs).select("key", "top"), "common-lines")
-    runs.close()
+    try:
+        for b in range(batches):
+            runs.add(keys.filter(F.col("batch") == b).select("key", "doc_id"))
+        # written first, so that adaptive execution can split the next join's hot keys, or broadcast if the table is small
+        common = materialised(runs.totals().filter(F.col("n") >= min_docs).select("key", "top"), "common-lines")
+    finally:
+        runs.close()
     gone = keys.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("top")))
     gone = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set(F.lower(F.hex("key"))).alias("gone"))
     rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")

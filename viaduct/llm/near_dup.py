@@ -212,7 +212,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def simhash_groups(df: DataFrame, key: str = "row", text_col: str = "text", width: int = 5, threshold: float = 0.8, stripe: int = STRIPE) -> DataFrame:
-    """(key, component): rows with one component are near-duplicates of each other, by links of the threshold or more."""
+    """(key, component): rows with one component are near-duplicates of each other, by links of the threshold or more.
+
+    The radii are made for 0.8 and hold for higher thresholds; lower ones, whose pairs would lie beyond them, are refused."""
+    if not 0.8 <= threshold < 1:
+        raise ValueError(f"a threshold from 0.8 up to below 1 is needed, not {threshold}")
     rows = materialised(_fingerprints(df, key, text_col, width), "fingerprints")
     classes = materialised(rows.groupBy("digest").agg(F.min(key).alias("id"), F.first("m").alias("m"), F.first("fp").alias("fp")), "sets")
     least = ceil(threshold / (1 - threshold) - 1e-9)  # smaller sets reach the threshold with their equals alone
