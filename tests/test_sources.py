@@ -131,6 +131,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "g")).count() == 2
     sinks.csv(df.select("i", F.lit("ñ").alias("n")), str(tmp_path / "c"), "ISO-8859-1", single=True)
     assert b"\xf1" in next((tmp_path / "c").glob("part-*")).read_bytes()
+    with pytest.raises(ValueError):
+        sinks.csv(df.select("i"), str(tmp_path / "d"), single=True, most=1)
     sinks.json_records(df.select("i", "s"), str(tmp_path / "j"), by="i")
     assert (tmp_path / "j" / "part=1").exists() and spark.read.json(str(tmp_path / "j" / "part=2")).first()["i"] == 2
     sinks.monthly_parquet(df.select("i", "s", F.lit(2023).alias("y"), F.lit(4).alias("m")), str(tmp_path / "p"), "y", "m")

@@ -11,8 +11,10 @@ from ..functions.domain import status_color
 from . import geojson
 
 
-def csv(df: DataFrame, path: str, encoding: str = "UTF-8", single: bool = False) -> None:
-    """single: one file, for the small contract tables."""
+def csv(df: DataFrame, path: str, encoding: str = "UTF-8", single: bool = False, most: int = 1_000_000) -> None:
+    """single: one file, for the small contract tables; more than `most` rows are refused, as one task would write them all."""
+    if single and df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for a single file")
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
 
 
