@@ -84,7 +84,20 @@ def test_placement_leaves_no_gap(spark):
 
 def test_greedy_cover(spark):
     c = spark.createDataFrame([(1, float(x)) for x in (0, 50, 100, 140, 180, 400, 500)], "road int, pk double")
-    assert placement.greedy_cover(c, "road", "pk", 150.0).first()["chosen"] == [0.0, 140.0, 180.0, 400.0, 500.0]
+    assert sorted(r["pk"] for r in placement.greedy_cover(c, "road", "pk", 150.0).collect()) == [0.0, 140.0, 180.0, 400.0, 500.0]
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 3, None]), float(rng.randrange(5000))) for _ in range(900)] + [(4, 7.0), (5, None), (1, 9000.0)]
+    got = sorted(tuple(r) for r in placement.greedy_cover(spark.createDataFrame(rows, "road int, pk double"), "road", "pk", 20.0).collect())
+    want = []
+    for road in (1, 2, 3, 4):
+        left = sorted({p for r, p in rows if r == road and p is not None})
+        at = left[0]
+        want.append((road, at))
+        while at != left[-1]:
+            within = [p for p in left if at < p <= at + 20.0]
+            at = within[-1] if within else min(p for p in left if p > at)
+            want.append((road, at))
+    assert got == want
 
 
 def test_cross_tab_and_pivot(spark):

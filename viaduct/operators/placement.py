@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import interval_join
+from .store import written
 
 
 def gap_intervals(stations: DataFrame, road: str, pk: str, spacing: float) -> DataFrame:
@@ -35,21 +36,23 @@ def place_stations(gaps: DataFrame, road: str, spacing: float) -> DataFrame:
 
 
 def greedy_cover(candidates: DataFrame, road: str, pk: str, spacing: float) -> DataFrame:
-    """(road, chosen): from each road's first candidate on, the farthest that is still within reach of the last.
+    """(road, pk) of the chosen candidates: from each road's first one on, the farthest that is still within reach of the last.
 
-    A road's candidates are one array, so this is for roads, not for keys of any size."""
-    arr = candidates.groupBy(road).agg(F.array_sort(F.collect_set(F.col(pk).cast("double"))).alias("pks"))
-    start = F.struct(F.array(F.col("pks")[0]).alias("chosen"), F.col("pks")[0].alias("reach"))
-
-    def step(acc, x):
-        far = x - F.element_at(acc["chosen"], -1) > spacing
-        # the candidate before x goes in when x can't be reached any more; if that isn't nearer, x itself
-        add = F.when(acc["reach"] > F.element_at(acc["chosen"], -1), acc["reach"]).otherwise(x)
-        return F.struct(F.when(far, F.concat(acc["chosen"], F.array(add))).otherwise(acc["chosen"]).alias("chosen"), x.alias("reach"))
-
-    folded = arr.select(road, F.aggregate("pks", start, step).alias("a"))
-    last = F.element_at(F.col("a.chosen"), -1)
-    return folded.select(road, F.when(F.col("a.reach") > last, F.concat(F.col("a.chosen"), F.array(F.col("a.reach")))).otherwise(F.col("a.chosen")).alias("chosen"))
+    Where none is within reach, the next one is chosen. Each candidate knows its successor from a window; the path from the first one
+    is marked by jumps of doubled length, so there are as many rounds as the logarithm of the longest path, and no
+    road is ever one value. A round is written once. Null roads and places are left out."""
+    own = candidates.select(road, F.col(pk).cast("double").alias("pk")).na.drop().distinct()
+    w = Window.partitionBy(road).orderBy("pk")
+    far = F.expr(f"last(pk) over (partition by `{road}` order by pk range between current row and {float(spacing)!r}D following)")
+    jumps = written(own.withColumn("jump", F.when(far > F.col("pk"), far).otherwise(F.lead("pk").over(w))), "jumps")
+    marked = written(jumps.groupBy(road).agg(F.min("pk").alias("pk")), "marked")
+    while True:
+        reached = written(marked.join(jumps, [road, "pk"]).filter("jump is not null").select(road, F.col("jump").alias("pk")), "reached")
+        if reached.isEmpty():
+            return marked
+        marked = written(marked.union(reached), "marked")  # a path meets no place twice
+        farther = jumps.select(road, F.col("pk").alias("jump"), F.col("jump").alias("__jump"))
+        jumps = written(jumps.join(farther, [road, "jump"]).select(road, "pk", F.col("__jump").alias("jump")), "jumps")
 
 
 def lazy_greedy(at: np.ndarray, weight: np.ndarray, candidates: np.ndarray, reach: float, most: int | None, least: int) -> list[tuple[float, int]]:

@@ -57,7 +57,8 @@ nx AS (SELECT a.road, a.pk, coalesce(max(b.pk) FILTER (WHERE b.pk - a.pk <= 600)
 c AS (SELECT road, min(pk) AS pk FROM st GROUP BY 1 UNION ALL SELECT c.road, nx.nxt FROM c JOIN nx ON c.road = nx.road AND c.pk = nx.pk)
 SELECT road, count(*)::INTEGER AS n_chosen, min(pk) AS first_pk, max(pk) AS last_pk FROM c GROUP BY 1""")
 def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
-    return placement.greedy_cover(_stations(spark, d), "road", "pk", 600.0).select("road", F.size("chosen").alias("n_chosen"), F.col("chosen")[0].alias("first_pk"), F.element_at("chosen", -1).alias("last_pk"))
+    chosen = placement.greedy_cover(_stations(spark, d), "road", "pk", 600.0)
+    return chosen.groupBy("road").agg(F.count(F.lit(1)).cast("int").alias("n_chosen"), F.min("pk").alias("first_pk"), F.max("pk").alias("last_pk"))
 
 
 def _demand_sql(steps: int, reach: int, least: int) -> str:
