@@ -60,8 +60,8 @@ def interurban_chargers(sites: DataFrame, segments: DataFrame, cfg: Config = DEF
     own = ag.distinct_first(sites, ["site_id"], "latitude", "longitude", "name").filter(geo.in_box(F.col("latitude"), F.col("longitude"), (27.0, 44.0), (-19.0, 5.0)))
     x, y = geo.to_utm(F.col("latitude"), F.col("longitude"))
     pts = own.withColumns({"point_id": F.col("site_id"), "x": x, "y": y})
-    near = joins.edge_candidates(pts.select("point_id", "x", "y"), metric_edges(segments), cfg.buffer_m).filter(F.col("dist") < cfg.buffer_m)
-    best = near.groupBy("point_id").agg(F.min(F.struct("dist", "edge_id")).alias("b")).select(F.col("point_id").alias("site_id"), F.col("b.edge_id").alias("segment_id"), F.col("b.dist").alias("dist_to_road_m"))
+    near = joins.nearest_edge(pts, metric_edges(segments), cfg.buffer_m, most=cfg.buffer_m).filter(F.col("dist") < cfg.buffer_m)
+    best = near.select(F.col("point_id").alias("site_id"), F.col("edge_id").alias("segment_id"), F.col("dist").alias("dist_to_road_m"))
     attrs = segments.select("segment_id", F.col("Carretera").alias("nearest_road"), "road_prefix", "is_tent")
     return own.join(best, "site_id").join(attrs, "segment_id")
 
