@@ -123,13 +123,21 @@ def contract_file2(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_PROPOSED} SELECT location_id AS bottleneck_id, latitude, longitude, route_segment, distributor_network, n_chargers_proposed * 150 AS estimated_demand_kw, grid_status FROM ps WHERE grid_status IN ('Moderate', 'Congested')")
 def contract_file3(spark: SparkSession, d: str) -> DataFrame:
-    p = _proposed(spark, d).filter(domain.is_friction(F.col("grid_status")))
+    return _file3(_proposed(spark, d))
+
+
+def _file3(proposed: DataFrame) -> DataFrame:
+    p = proposed.filter(domain.is_friction(F.col("grid_status")))
     return p.withColumn("bottleneck_id", F.col("location_id")).withColumn("estimated_demand_kw", domain.demand_kw(F.col("n_chargers_proposed"))).select(FILE_3)
 
 
 @query(f"""{_PROPOSED} SELECT count(*) AS total_proposed_stations, (SELECT count(*) FROM supplier) AS total_existing_stations_baseline, count(*) FILTER (WHERE grid_status <> 'Sufficient') AS total_friction_points, (SELECT count(*) FROM orders) AS total_ev_projected_2027 FROM ps""")
 def contract_file1(spark: SparkSession, d: str) -> DataFrame:
-    own = _proposed(spark, d).agg(F.count(F.lit(1)).alias("total_proposed_stations"), F.count_if(domain.is_friction(F.col("grid_status"))).alias("total_friction_points"))
+    return _file1(spark, d, _proposed(spark, d))
+
+
+def _file1(spark: SparkSession, d: str, proposed: DataFrame) -> DataFrame:
+    own = proposed.agg(F.count(F.lit(1)).alias("total_proposed_stations"), F.count_if(domain.is_friction(F.col("grid_status"))).alias("total_friction_points"))
     existing = t(spark, d, "supplier").agg(F.count(F.lit(1)).alias("total_existing_stations_baseline"))
     ev = t(spark, d, "orders").agg(F.count(F.lit(1)).alias("total_ev_projected_2027"))
     return own.crossJoin(existing).crossJoin(ev).select(FILE_1)  # one row each
@@ -148,9 +156,9 @@ def contract_violations(spark: SparkSession, d: str) -> DataFrame:
         number = F.substring(ident, 5, 20).cast("int")
         return df.withColumn(column, F.when(number % every == 0, value).otherwise(F.col(column)))
 
-    one = contract_file1(spark, d)
-    two = broken(broken(contract_file2(spark, d), "location_id", "grid_status", 7, F.lit("Unknown")), "location_id", "grid_status", 11, F.lit(None))
-    three = contract_file3(spark, d)
+    proposed = _proposed(spark, d)  # the nearest substations are found once
+    one, three = _file1(spark, d, proposed), _file3(proposed)
+    two = broken(broken(proposed.select(FILE_2), "location_id", "grid_status", 7, F.lit("Unknown")), "location_id", "grid_status", 11, F.lit(None))
     for column, every, value in (("grid_status", 17, F.lit("Sufficient")), ("distributor_network", 5, F.lit("Other")), ("estimated_demand_kw", 13, F.col("estimated_demand_kw") + 1)):
         three = broken(three, "bottleneck_id", column, every, value)
     return validate.violations(one.union(one), two, three)
