@@ -83,3 +83,21 @@ def test_area_of_the_union(spark, name):
 
 def test_nothing_to_dissolve(spark):
     assert outline_of(spark, [(1, None, 1.0, 2.0, 3.0)], 3.0, 16).count() == 0
+
+
+def test_sides_inside_a_crowd_are_not_clipped(spark, monkeypatch):
+    """Of many buffers that lie on each other only the sides near the outline go on, and the outline stays the same."""
+    rng, radius, sides, left = random.Random(8), 3.0, 16, []
+    edges = [(i, x := rng.uniform(0, 6), y := rng.uniform(0, 6), x + rng.uniform(-1, 1), y + rng.uniform(-1, 1)) for i in range(26)] + [(90, 40.0, 0.0, 41.0, 0.0)]
+
+    def counted(df, what, whole=buffers.written):
+        out = whole(df, what)
+        left.append(out.count() if what == "sides" else math.inf)
+        return out
+
+    monkeypatch.setattr(buffers, "written", counted)
+    out = outline_of(spark, edges, radius, sides)
+    assert repair.area(out).first()["area"] == pytest.approx(union_area(edges, radius, sides), rel=1e-7)
+    rows = [tuple(round(r[c], 6) for c in ("x1", "y1", "x2", "y2")) for r in out.collect()]
+    assert sorted(r[:2] for r in rows) == sorted(r[2:] for r in rows)
+    assert min(left) < len(edges) * sides / 4

@@ -5,21 +5,30 @@ corners there. A side of one buffer is covered by another between two of its pla
 meets only buffers whose edges lie near, by cells; what is covered is joined into stretches, and the rest of the side is
 outline. Where two buffers have a piece of outline in common, the one with the smaller id keeps it. The union is never built
 by merging shapes one into another, and no task holds it.
+
+Where buffers are dense, nearly all sides lie deep inside the union. So cells that lie wholly inside one buffer are found first,
+by the distance of their corners from an edge, and cells with many edges around that don't are cut into smaller ones. Only sides
+that pass a cell which is left, and that don't lie wholly inside one buffer themselves, are clipped.
 """
 
 from __future__ import annotations
 
-from math import cos, pi, sin
+from math import ceil, cos, pi, sin
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from .joins import walked_cells
 from .store import written
 
 SIDES = 64
 #: Lengths and depths below this part of the radius are taken for rounding.
 TINY = 1e-9
+#: Cells in a row of one that is cut; edges around a cell from which on it is cut again.
+CUT, CROWD = 4, 16
+#: Rows that are sent to all tasks at most, after they were counted; edges and pairs for a task.
+FEW, EDGES, PAIRS = 100_000, 2_000, 500_000
 
 
 def outlines(edges: DataFrame, ident: str, radius: float, sides: int = SIDES) -> DataFrame:
@@ -74,6 +83,51 @@ def _covered(radius: float, sides: int, earlier: Column) -> Column:
     return F.aggregate(normals, start, clipped)
 
 
+def _from_other(x: Column, y: Column) -> Column:
+    """Distance of a place from the other edge (a1, b1, a2, b2)."""
+    return geo.to_edge(x, y, *(F.col(c) for c in ("a1", "b1", "a2", "b2")))
+
+
+def _met(rows: DataFrame, near: DataFrame, crowds: DataFrame) -> DataFrame:
+    """rows (__cx, __cy) with the edges around their cells; where rows are few, the edges are not dealt by cell, so that a crowd is shared out."""
+    cell = ["__cx", "__cy"]
+    if rows.count() <= FEW:
+        return near.join(F.broadcast(rows), cell)
+    pairs = rows.join(crowds, cell).agg(F.sum("__n")).first()[0] or 0
+    parts = ceil(pairs / PAIRS) or 1
+    return rows.repartition(parts, *cell).join(near.repartition(parts, *cell), cell)
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """rows with __u, __v: each cell (__u, __v) as the cells that it is cut into."""
+    for c in ("__u", "__v"):
+        rows = rows.withColumn(c, F.explode(F.sequence(F.col(c) * CUT, F.col(c) * CUT + CUT - 1)))
+    return rows
+
+
+def _uncovered(rows: DataFrame, size: float, depth: float) -> DataFrame:
+    """Of the cells (__u, __v) with their edges, those without an edge from which all corners are within depth: (__cx, __cy, __u, __v, __n)."""
+    far = F.greatest(*(_from_other((F.col("__u") + i) * size, (F.col("__v") + j) * size) for i in (0, 1) for j in (0, 1)))
+    cells = rows.select("__cx", "__cy", "__u", "__v", far.alias("far")).groupBy("__cx", "__cy", "__u", "__v").agg(F.min("far").alias("far"), F.count(F.lit(1)).alias("__n"))
+    return cells.filter(F.col("far") > depth).drop("far")
+
+
+def _exposed(sides: DataFrame, ident: str, near: DataFrame, crowds: DataFrame, radius: float, depth: float) -> DataFrame:
+    """The sides that pass a cell which isn't covered; in crowds, a small one."""
+    size = radius / CUT
+    whole = near.withColumns({"__u": F.col("__cx"), "__v": F.col("__cy")})
+    open_ = written(_uncovered(_cut(whole), size, depth), "cells")
+    crowded = written(_cut(open_.filter(F.col("__n") >= CROWD).drop("__n")), "cells")
+    small = written(_uncovered(_met(crowded, near, crowds), size / CUT, depth).select(F.col("__u").alias("__cx"), F.col("__v").alias("__cy")), "cells")
+    level = open_.select(F.col("__u").alias("__cx"), F.col("__v").alias("__cy"), (F.col("__n") >= CROWD).alias("__crowd"))
+    columns = [ident, "side", "x1", "y1", "x2", "y2"]
+    seen = walked_cells(sides, size).join(level, ["__cx", "__cy"])
+    # a crowd's cells touch others: a side is asked for in small cells only if it passes no open cell without a crowd
+    seen = written(seen.groupBy(*columns).agg(F.min("__crowd").alias("__crowd")), "sides")
+    inner = walked_cells(seen.filter("__crowd"), size / CUT).join(small, ["__cx", "__cy"], "left_semi").select(columns).distinct()
+    return seen.filter("not __crowd").select(columns).union(inner)
+
+
 def dissolved(edges: DataFrame, ident: str, radius: float, sides: int = SIDES) -> DataFrame:
     """(ident, side, x1, y1, x2, y2): the outline of the union of the buffers of all edges (ident, x1, y1, x2, y2), the inside on the left.
 
@@ -84,9 +138,22 @@ def dissolved(edges: DataFrame, ident: str, radius: float, sides: int = SIDES) -
     order = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
     ends = [order(a, b).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"))] + [order(b, a).alias(b) for a, b in (("x1", "x2"), ("y1", "y2"))]
     own = written(own.select(ident, *ends).groupBy("x1", "y1", "x2", "y2").agg(F.min(ident).alias(ident)), "edges")
-    parts = written(outlines(own, ident, radius, sides), "sides")
-    near = walked_cells(own, radius, 1).select(F.col(ident).alias("__other"), F.col("x1").alias("a1"), F.col("y1").alias("b1"), F.col("x2").alias("a2"), F.col("y2").alias("b2"), "__cx", "__cy")
-    met = walked_cells(parts, radius).join(near, ["__cx", "__cy"]).filter(F.col(ident) != F.col("__other")).drop("__cx", "__cy").distinct()
+    n = own.count()
+    dealt = own.repartition(max(ceil(n / EDGES), min(ceil(n / 32), 64), 1))
+    near = walked_cells(dealt, radius, 1).select(F.col(ident).alias("__other"), F.col("x1").alias("a1"), F.col("y1").alias("b1"), F.col("x2").alias("a2"), F.col("y2").alias("b2"), "__cx", "__cy")
+    crowds = written(near.groupBy("__cx", "__cy").agg(F.count(F.lit(1)).alias("__n")), "crowds")
+    depth = radius * cos(pi / sides) * (1 - 1e-6)
+    parts = written(_exposed(outlines(dealt, ident, radius, sides), ident, near, crowds, radius, depth), "sides")
+    passed = written(walked_cells(parts, radius), "sides")
+    met = _met(passed, near, crowds).filter(F.col(ident) != F.col("__other"))
+    # a side whose two ends lie inside one buffer is inside as a whole
+    ends = F.greatest(_from_other(F.col("x1"), F.col("y1")), _from_other(F.col("x2"), F.col("y2")))
+    buried = met.select(ident, "side", ends.alias("d")).groupBy(ident, "side").agg(F.min("d").alias("d")).filter(F.col("d") <= depth)
+    parts = written(parts.join(buried, [ident, "side"], "left_anti"), "sides")
+    passed = written(walked_cells(parts, radius), "sides")
+    half = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1"))) / 2
+    reached = _from_other((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2) <= (radius + half) * (1 + 1e-6)
+    met = _met(passed, near, crowds).filter(F.col(ident) != F.col("__other")).filter(reached)
     inside = met.select(ident, "side", _covered(radius, sides, F.col("__other") < F.col(ident)).alias("c")).select(ident, "side", "c.*").filter(F.col("to") > F.col("from"))
     # what is left of a side: from the end of all stretches so far to the start of the next one
     limits = inside.unionByName(parts.select(ident, "side", F.lit(1.0).alias("from"), F.lit(1.0).alias("to")))
