@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from viaduct.operators import aggregate as ag
 from viaduct.operators import quantiles as qs
 from viaduct.operators import window
+from viaduct.plans import spatial
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
 
@@ -62,3 +63,19 @@ def test_no_more_than_few_values_are_sorted(spark, monkeypatch):
     assert r["q"] == [float(np.median(xs))]
     rest = [n for what, n in seen if what == "rest"]
     assert rest and rest[0] < 4000 and all(b < a for a, b in zip(rest, rest[1:], strict=False))
+
+
+def test_segments_do_not_go_through_the_driver(spark, tmp_path):
+    """Of folded traffic and segments the traffic is the smaller side, whatever the size of the table that it was folded from."""
+    spark.range(200_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    k = F.col("id")
+    rows = spark.range(400_000).select((k % 997).alias("l_suppkey"), (k % 50 + 1).cast("double").alias("l_quantity"), (F.rand(1) * 1e6).alias("l_extendedprice"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = spatial.segment_means(spark, str(tmp_path))
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [next((i for i, c in enumerate(x) if c.isalpha()), 0) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("p_partkey" in y for y in lines[i:end])
+    assert df.count() == 200_000 and df.agg(F.sum("n_stations")).first()[0] >= 400_000

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
+from .store import written
 
 
 def impute_median(df: DataFrame, group: str, column: str, out: str) -> DataFrame:
-    """Nulls take their group's median, then the median of the column so filled; both exact, by selection."""
+    """Nulls take their group's median, then the median of the column so filled; both exact, by selection. Rows are written once, as each pass reads them."""
+    df = written(df, "rows")
     medians = quantiles(df, column, [0.5], [group]).select(F.col(group).alias("__g"), F.col("q")[0].alias("__m"))
     filled = df.join(medians, df[group].eqNullSafe(F.col("__g")), "left").drop("__g")
     filled = filled.withColumn(out, F.coalesce(F.col(column), F.col("__m"))).drop("__m")
