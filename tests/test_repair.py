@@ -1,7 +1,7 @@
 """Repaired polygons against areas by parity, on bow-ties, touching, overlapping and repeated rings."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -92,3 +92,42 @@ def test_points_are_inside_as_before(spark, repaired):
 def test_nothing_to_repair(spark):
     none = spark.createDataFrame([("a", None, 1.0, 2.0, 3.0)], "name string, x1 double, y1 double, x2 double, y2 double")
     assert repair.make_valid(none, "name").count() == 0
+
+
+def test_small_polygons_are_traced_without_rounds_of_joins(spark, monkeypatch):
+    """One row traces what the jumps trace, rings, order and all; only polygons above the bound take rounds, each of which is written."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        path = [(float(rng.randrange(9)), float(rng.randrange(9))) for _ in range(rng.choice([4, 7, 9]))]
+        rows += [(i, *a, *b) for a, b in zip(path, path[1:] + path[:1], strict=True)]
+    edges = spark.createDataFrame(rows, "name long, x1 double, y1 double, x2 double, y2 double")
+    wrote = []
+
+    def noted(df, what, whole=repair.written):
+        wrote.append(what)
+        return whole(df, what)
+
+    monkeypatch.setattr(repair, "written", noted)
+    columns = ["name", "x1", "y1", "x2", "y2"]
+
+    def traced():
+        """Each ring as its closed path from its smallest place on, as ids of pieces may differ between runs."""
+        out = defaultdict(dict)
+        for r in repair.make_valid(edges, "name").collect():
+            out[r["name"], r["ring"]][r["pos"]] = tuple(r[c] for c in columns[1:])
+        found = []
+        for (name, _), ring in out.items():
+            assert sorted(ring) == list(range(len(ring)))
+            path = [ring[k] for k in range(len(ring))]
+            assert all(a[2:] == b[:2] for a, b in zip(path, path[1:] + path[:1], strict=True))
+            k = path.index(min(path))
+            found.append((name, tuple(path[k:] + path[:k])))
+        return sorted(found)
+
+    small = traced()
+    assert "jumps" not in wrote and len(small) > 40
+    monkeypatch.setattr(repair, "SMALL", 12, raising=False)
+    assert traced() == small and "jumps" in wrote
+    monkeypatch.setattr(repair, "SMALL", 0, raising=False)
+    assert traced() == small

@@ -7,6 +7,8 @@ polygon is made of the odd pieces, each turned so that the inside lies on its le
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from .store import written
 
 #: Decimals to which places are rounded where edges are cut, so that the pieces of both edges end at the same place.
 DIGITS = 9
+#: Pieces of a polygon up to which its rings are traced in one row; those of larger ones meet by joins.
+SMALL = 64
+#: Edges for a task that looks for crossings.
+EDGES = 50_000
 
 
 def _sized(edges: DataFrame, ident: str) -> DataFrame:
@@ -27,10 +33,12 @@ def _sized(edges: DataFrame, ident: str) -> DataFrame:
 def noded(edges: DataFrame, ident: str, digits: int = DIGITS) -> DataFrame:
     """(ident, edge, x1, y1, x2, y2): the edges (edge: a number of its own for each) cut at all places where two of one polygon cross, touch or overlap.
 
-    Edges meet in the cells that they pass; pieces without length are left out."""
-    cells = walked_cells(_sized(edges, ident), F.col("__size")).drop("__size")
+    Edges meet in the cells that they pass; two that meet in several cells are cut at one place more than once, which makes
+    pieces without length, and those are left out."""
+    parts = ceil(edges.count() / EDGES) or 1  # as edges take little room, but much time
+    cells = walked_cells(_sized(edges, ident), F.col("__size")).drop("__size").repartition(parts, ident, "__cx", "__cy")
     other = {c: f"o_{c}" for c in ("edge", "x1", "y1", "x2", "y2")}
-    met = cells.join(cells.withColumnsRenamed(other), [ident, "__cx", "__cy"]).filter(F.col("edge") < F.col("o_edge")).drop("__cx", "__cy").distinct()
+    met = cells.join(cells.withColumnsRenamed(other), [ident, "__cx", "__cy"]).filter(F.col("edge") < F.col("o_edge")).drop("__cx", "__cy")
     x, y, ox, oy = F.col("x1"), F.col("y1"), F.col("o_x1"), F.col("o_y1")
     rx, ry, sx, sy = F.col("x2") - x, F.col("y2") - y, F.col("o_x2") - ox, F.col("o_y2") - oy
     wx, wy = ox - x, oy - y
@@ -76,16 +84,40 @@ def _turned(pieces: DataFrame, ident: str) -> DataFrame:
 
 
 def _followed(pieces: DataFrame, ident: str) -> DataFrame:
-    """(piece, next): where a ring arrives at a place, it goes on with the first piece clockwise from where it came from."""
+    """pieces with next: where a ring arrives at a place, it goes on with the first piece clockwise from where it came from."""
     back = F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2"))
     ahead = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     none = F.lit(None).cast("bigint")
-    arrive = pieces.select(ident, F.col("x2").alias("x"), F.col("y2").alias("y"), back.alias("angle"), "piece", none.alias("leaves"))
-    leave = pieces.select(ident, F.col("x1").alias("x"), F.col("y1").alias("y"), ahead.alias("angle"), none.alias("piece"), F.col("piece").alias("leaves"))
+    names = ("x", "y", "angle", "piece", "leaves", "x1", "y1")
+    end = lambda *values: F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
+    start = (F.col("x1"), F.col("y1"))
+    both = F.array(end(F.col("x2"), F.col("y2"), back, F.col("piece"), none, *start), end(*start, ahead, none, F.col("piece"), *start))
     w = Window.partitionBy(ident, "x", "y").orderBy(F.col("angle").desc())
     after = F.first("leaves", True).over(w.rowsBetween(1, Window.unboundedFollowing))
     around = F.first("leaves", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return arrive.union(leave).withColumn("next", F.coalesce(after, around)).filter("piece is not null").select("piece", "next")
+    out = pieces.select(ident, F.explode(both).alias("e")).select(ident, "e.*").withColumn("next", F.coalesce(after, around)).filter("piece is not null")
+    return out.select(ident, "piece", "next", "x1", "y1", F.col("x").alias("x2"), F.col("y").alias("y2"))
+
+
+def _ringed_whole(steps: DataFrame, ident: str) -> DataFrame:
+    """steps (ident, piece, next, x1, y1, x2, y2) of small polygons with ring and ahead, as _ringed has them: the same jumps, over the array of a polygon's pieces."""
+    rows = steps.groupBy(ident).agg(F.sort_array(F.collect_list(F.struct("piece", "next", "x1", "y1", "x2", "y2"))).alias("p"))
+    rows = rows.withColumn("all", F.transform("p", lambda q: q["piece"]))
+    at = lambda jump, ring, ahead: F.struct(jump.alias("jump"), ring.alias("ring"), ahead.alias("ahead"))
+    first = F.transform("p", lambda q: at((F.array_position(F.col("all"), q["next"]) - 1).cast("int"), q["piece"], F.lit(0).cast("bigint")))
+
+    def jumped(state: Column, k: Column) -> Column:
+        def one(s: Column) -> Column:
+            far = F.get(state, s["jump"])
+            nearer = far["ring"] < s["ring"]
+            return at(far["jump"], F.least(far["ring"], s["ring"]), F.when(nearer, far["ahead"] + F.pow(F.lit(2.0), k).cast("bigint")).otherwise(s["ahead"]))
+
+        return F.transform(state, one)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("p").cast("double"))).cast("int"))
+    traced = rows.select(ident, "p", F.aggregate(rounds, first, jumped).alias("s"))
+    out = traced.select(ident, F.explode(F.arrays_zip("p", "s")).alias("z"))
+    return out.select(ident, *(F.col(f"z.p.{c}").alias(c) for c in ("piece", "x1", "y1", "x2", "y2")), F.col("z.s.ring").alias("ring"), F.col("z.s.ahead").alias("ahead"))
 
 
 def _ringed(steps: DataFrame) -> DataFrame:
@@ -109,9 +141,10 @@ def make_valid(edges: DataFrame, ident: str, digits: int = DIGITS) -> DataFrame:
     """(ident, ring, pos, x1, y1, x2, y2): polygons given by the edges of all their rings, repaired by parity.
 
     Rings cross neither themselves nor each other and touch at single places at most; shells run against the clock, holes with it.
-    Repeated edges cancel in pairs; polygons without any inside have no row. Nulls are left out, places are rounded to `digits`
-    decimals. All work is dealt by polygon and cell, band or place, so a large polygon is worked on by many tasks."""
-    own = edges.select(ident, *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).na.drop().withColumn("edge", F.monotonically_increasing_id())
+    Repeated edges cancel in pairs; polygons without any inside have no row. Nulls and edges without length are left out, places are rounded to `digits`
+    decimals. All work is dealt by polygon and cell, band or place, so a large polygon is worked on by many tasks; only the rings of
+    one of SMALL pieces or less are traced in one row, by the same jumps."""
+    own = edges.select(ident, *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2"))).na.drop().filter("x1 <> x2 or y1 <> y2").withColumn("edge", F.monotonically_increasing_id())
     cut = noded(written(own, "edges"), ident, digits)
     swap = F.struct("x1", "y1") > F.struct("x2", "y2")
     order = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
@@ -119,8 +152,12 @@ def make_valid(edges: DataFrame, ident: str, digits: int = DIGITS) -> DataFrame:
     odd = straight.groupBy(ident, "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").drop("n")
     pieces = written(odd.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     turned = written(_turned(pieces, ident), "turned")
-    rings = turned.join(_ringed(_followed(turned, ident)), "piece")
-    w = Window.partitionBy("ring")
+    large = written(turned.groupBy(ident).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL).select(ident), "large")
+    rings = _ringed_whole(_followed(turned.join(large, ident, "left_anti").repartition(ident), ident), ident)
+    if not large.isEmpty():
+        many = _followed(turned.join(large, ident, "left_semi"), ident)
+        rings = rings.unionByName(many.drop("next").join(_ringed(many.select("piece", "next")), "piece"))
+    w = Window.partitionBy(ident, "ring")
     pos = F.pmod(F.count(F.lit(1)).over(w) - F.col("ahead"), F.count(F.lit(1)).over(w))
     return rings.withColumn("pos", pos).select(ident, "ring", "pos", "x1", "y1", "x2", "y2")
 
